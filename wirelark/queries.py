@@ -37,7 +37,12 @@ def _sim(c: str) -> str:
 
 
 _SUFFIX = r"\s+-\s+[\pL\pM\pN_ .,&''()]{2,80}$"
-_TITLE = rf"regexp_replace({{c}}, '{_SUFFIX}', '')"
+
+
+def _title(c: str) -> str:
+    return f"regexp_replace({c}, '{_SUFFIX}', '')"
+
+
 _ALIAS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in text.TOPIC_ALIASES.items()) + "}"
 
 
@@ -47,7 +52,7 @@ def _topic_list(c: str) -> str:
 
 def _salient(c: str) -> str:
     stop = ", ".join(f"'{w}'" for w in text.TOPIC_STOP)
-    return f"list_distinct(list_filter({_topic_list(_TITLE.format(c=c))}, t -> length(t) > 2 and not list_contains([{stop}], t)))"
+    return f"list_distinct(list_filter({_topic_list(_title(c))}, t -> length(t) > 2 and not list_contains([{stop}], t)))"
 
 
 def query(sql: str | None = None):
@@ -187,7 +192,7 @@ def exact_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    select id, concat_ws(' ', nullif({_sim(_TITLE.format(c='title'))}, ''), nullif({_sim('abstract')}, ''),
+    select id, concat_ws(' ', nullif({_sim(_title('title'))}, ''), nullif({_sim('abstract')}, ''),
            nullif({_sim('substring(article_text, 1, 4000)')}, '')) as doc from articles
 """)
 def similarity_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +205,7 @@ def _topic_sql(c: str) -> str:
 
 
 @query(f"""
-    select id, concat_ws(' ', t, t, a, x) as doc from (select id, {_topic_sql(_TITLE.format(c='title'))} as t, {_topic_sql('abstract')} as a,
+    select id, concat_ws(' ', t, t, a, x) as doc from (select id, {_topic_sql(_title('title'))} as t, {_topic_sql('abstract')} as a,
            {_topic_sql('substring(article_text, 1, 4000)')} as x from articles)
 """)
 def topic_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -260,7 +265,7 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("top"), F.round(F.sum("w"), 4).alias("total"))
 
 
-_CDOC = f"""c as (select original_index as id, concat_ws(' ', nullif({_sim(_TITLE.format(c='title'))}, ''), nullif({_sim('abstract')}, ''),
+_CDOC = f"""c as (select original_index as id, concat_ws(' ', nullif({_sim(_title('title'))}, ''), nullif({_sim('abstract')}, ''),
     nullif({_sim('substring(full_text, 1, 4000)')}, '')) as doc from candidates)"""
 
 
@@ -277,7 +282,7 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     with {_CDOC},
-    r as (select -1 - id as id, row_number() over (order by created_at desc, id desc) as pos, concat_ws(' ', nullif({_sim(_TITLE.format(c='title'))}, ''),
+    r as (select -1 - id as id, row_number() over (order by created_at desc, id desc) as pos, concat_ws(' ', nullif({_sim(_title('title'))}, ''),
           nullif({_sim('abstract')}, ''), nullif({_sim('substring(article_text, 1, 4000)')}, '')) as doc
           from (select * from articles order by created_at desc, id desc limit 500)),
     u as (select id, doc from c where trim(doc) <> '' union all select id, doc from r), {_tf_sql('u')},
