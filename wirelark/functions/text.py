@@ -17,7 +17,7 @@ TOPIC_STOP = (
     "microsoft phishing systems users windows"
 ).split()
 KNOWN_ENTITIES = "acme cisa deepseek google meta microsoft nso openai whatsapp".split()
-SOURCE_SUFFIX = r"(?U)\s+-\s+[\w .,&'()]{2,80}$"
+SOURCE_SUFFIX = r"(?U)\s+-\s+[\p{L}\p{N}_ .,&'()]{2,80}$"
 PREFIX = 4000
 
 

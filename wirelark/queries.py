@@ -36,7 +36,7 @@ def _sim(c: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({c}), 'https?://[^\\s]+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-_SUFFIX = r"\s+-\s+[\pL\pM\pN_ .,&''()]{2,80}$"
+_SUFFIX = r"\s+-\s+[\pL\pN_ .,&''()]{2,80}$"
 
 
 def _title(c: str) -> str:
@@ -47,12 +47,12 @@ _ALIAS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in text.TOPIC_ALIASES.item
 
 
 def _topic_list(c: str) -> str:
-    return f"list_transform(string_split({_sim(c)}, ' '), t -> coalesce({_ALIAS}[t], t))"
+    return f"list_transform(string_split({_sim(c)}, ' '), lambda t: coalesce({_ALIAS}[t], t))"
 
 
 def _salient(c: str) -> str:
     stop = ", ".join(f"'{w}'" for w in text.TOPIC_STOP)
-    return f"list_distinct(list_filter({_topic_list(_title(c))}, t -> length(t) > 2 and not list_contains([{stop}], t)))"
+    return f"list_distinct(list_filter({_topic_list(_title(c))}, lambda t: length(t) > 2 and not list_contains([{stop}], t)))"
 
 
 def query(sql: str | None = None):
@@ -116,14 +116,14 @@ _CANON = rf"""
         select original_index, coalesce(nullif(lower(regexp_extract(u, re, 1)), ''), 'https') as scheme, lower(regexp_extract(u, re, 2)) as host,
                regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, re, 3), ';[^/]*$', ''), '/+', '/', 'g'), '/$', '') as path,
                list_sort(list_filter(list_transform(string_split(regexp_extract(u, re, 4), '&'),
-                   x -> [url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))]),
-                   x -> x[2] <> '' and not list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid'], lower(x[1])))) as pairs
+                   lambda x: [url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))]),
+                   lambda x: x[2] <> '' and not list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid'], lower(x[1])))) as pairs
         from s
     )
     select original_index,
            case when host <> '' then scheme || '://' || host else scheme || ':' end || case when path = '' then '/' else path end
            || case when len(pairs) > 0 then '?' || list_aggregate(list_transform(pairs,
-                x -> replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), 'string_agg', '&') else '' end as canonical_url
+                lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), 'string_agg', '&') else '' end as canonical_url
     from q
 """
 
@@ -233,9 +233,9 @@ def shared_terms(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
     with t as (select id, regexp_extract_all(case when contains(title, ' - ') then regexp_extract(title, '^(.*) - .*$', 1) else title end,
                       '\b[A-Z][A-Za-z0-9&.-]{2,}\b|\b[A-Z]{2,}\b') as found from articles),
-         k as (select id, list_filter(found, x -> length(trim(x, '.,:;!?()[]{}')) > 2 and (upper(x) = x or regexp_matches(x[2:], '[A-Z]')
+         k as (select id, list_filter(found, lambda x: length(trim(x, '.,:;!?()[]{}')) > 2 and (upper(x) = x or regexp_matches(x[2:], '[A-Z]')
                       or list_contains(['acme','cisa','deepseek','google','meta','microsoft','nso','openai','whatsapp'], lower(trim(x, '.,:;!?()[]{}'))))) as kept from t)
-    select id, list_sort(list_distinct(list_transform(kept, x -> lower(trim(x, '.,:;!?()[]{}'))))) as terms from k
+    select id, list_sort(list_distinct(list_transform(kept, lambda x: lower(trim(x, '.,:;!?()[]{}'))))) as terms from k
 """)
 def entity_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select("id", F.array_sort(text.entity_terms(F.col("title"))).alias("terms"))
@@ -247,8 +247,8 @@ _STOP = ", ".join(f"'{w}'" for w in tfidf.STOP)
 def _tf_sql(source: str) -> str:
     """CTEs w (words), tf, n, wt over a relation of id and doc."""
     return rf"""
-        words as (select id, list_filter(regexp_extract_all(lower(doc), '[\pL\pM\pN_]{{2,}}'), x -> not list_contains([{_STOP}], x)) as ws from {source}),
-        terms as (select id, unnest(list_concat(ws, list_transform(list_zip(ws[:-2], ws[2:]), p -> p[1] || ' ' || p[2]))) as term from words),
+        words as (select id, list_filter(regexp_extract_all(lower(doc), '[\pL\pN_]{{2,}}'), lambda x: not list_contains([{_STOP}], x)) as ws from {source}),
+        terms as (select id, unnest(list_concat(ws, list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2]))) as term from words),
         tf as (select id, term, cast(count(*) as double) as tf from terms group by 1, 2),
         n as (select count(*) as n from {source}),
         dfs as (select term, count(*) as df from tf group by 1),
