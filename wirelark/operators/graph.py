@@ -11,8 +11,8 @@ from wirelark.session import stage
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """node, component: the smallest node of each component, for every node that has an edge.
 
-    Every round each node points at its smallest neighbour, pointers are followed twice, and the edges are contracted
-    to edges between the nodes pointed at; a round at least halves the components that still have edges. A hub's
+    Every round each node points at its smallest neighbour or itself, pointers are doubled until they lead to roots, and
+    the edges are contracted to edges between roots; a round at least halves the nodes that still have edges. A hub's
     neighbours are reduced by a partial minimum before the shuffle. Loops, repeats and null ends are ignored; no edge
     gives no row. Each round's tables are written to the shared folder, so a lost executor costs no earlier round.
     """
@@ -29,10 +29,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .select("node", F.least("node", "to").alias("to"))
         )
         low = stage(low, "cc-low")
-        for _ in range(2):
-            nxt = low.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            low = low.join(nxt, "to").select("node", F.col("next").alias("to"))
-        low = stage(low, "cc-parent")
+        moved = True
+        while moved:  # pointers are doubled until all lead to a root
+            twice = low.alias("a").join(low.alias("b"), F.col("a.to") == F.col("b.node")).select("a.node", "b.to")
+            last = twice.alias("a").join(low.alias("b"), F.col("a.to") == F.col("b.node"))
+            low = stage(last.select("a.node", "b.to", (F.col("a.to") != F.col("b.to")).alias("moved")), "cc-parent")
+            moved = not low.filter("moved").isEmpty()
+            low = low.select("node", "to")
         if found is None:
             found = low.select("node", F.col("to").alias("component"))
         else:
