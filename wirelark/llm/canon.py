@@ -95,25 +95,23 @@ _EMOJI = "←-⯿〰〽\U0001f000-\U0001faff"
 _JOINED = "[ؠ-ۿݐ-ݿࢠ-ࣿऀ-෿က-႟ក-៿]"
 #: Joiners that show: between emoji, and between letters of scripts that join or stack.
 _SHOWN = re.compile(f"(?<=[{_EMOJI}️])‍(?=[{_EMOJI}])|(?<={_JOINED})[‌‍](?={_JOINED})")
-_HELD = {"‍": "", "‌": ""}  # private-use marks while a joiner that shows is held
 
 
 def canonical(text: str | None) -> str | None:
     if not text or text.isascii() and not ("\t" in text or "\r" in text):
         return text
     segment, first, like = _tables()
-    held = "\u200d" in text or "\u200c" in text
-    if held:
-        text = _SHOWN.sub(lambda m: _HELD[m.group(0)], text)
 
     def settle(m: re.Match) -> str:
         return u.normalize("NFC", u.normalize("NFD", m.group(0).translate(first)).translate(like))
 
-    text = segment.sub(settle, text)
-    if held:
-        for joiner, mark in _HELD.items():
-            text = text.replace(mark, joiner)
-    return text
+    if "\u200d" not in text and "\u200c" not in text:
+        return segment.sub(settle, text)
+    out, at = [], 0
+    for m in _SHOWN.finditer(text):  # joiners that show stay; nothing composes across one
+        out += [segment.sub(settle, text[at : m.start()]), m.group(0)]
+        at = m.end()
+    return "".join(out) + segment.sub(settle, text[at:])
 
 
 def canonical_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ of near.possible); vectors that cannot be near enough are not fetched, and what
 The first vector of each cell is tried first; a query that it settles probes no further, since no nearer match can
 change the result. A query that exact keys settle is not probed at all.
 
-A probe reads the narrow columns of the cells (two numbers a cell entry) and the full vectors of candidates only. Defined
+A probe reads the narrow columns of the cells (three numbers a cell entry) and the full vectors of candidates only. Defined
 results: an entry of the history counts for a query if it was appended earlier, or in the same batch with a smaller order
 number; null keys match nothing; rows whose text is residue have no vector and no text keys; equal rows repeat each other.
 """
@@ -59,7 +59,7 @@ class History:
             F.col("seq").alias("id"), "url_key", keep("text_key"), keep("print_key"), "n", "set_hash", "toks", *bits, "keys"
         ).write.option("compression", "zstd").parquet(part)
         made = self.spark.read.parquet(part)
-        made.filter("n > 0").select("id", F.explode("keys").alias("key")).write.option("compression", "zstd").parquet(
+        made.filter("n > 0").select("id", "set_hash", F.explode("keys").alias("key")).write.option("compression", "zstd").parquet(
             part.replace("/vectors/", "/cells/")
         )
         return made
@@ -90,7 +90,9 @@ class History:
         heads = asked.select(F.col("id").alias("x"), F.col("head").alias("y")).distinct()
         by_head = stage(near.compare(heads, vectors, limit).select(F.col("x").alias("id")).distinct(), "history-near")
         rest = asked.join(by_head, "id", "left_anti").select("key", F.col("id").alias("x"), "head")
-        others = rest.join(inside.select("key", F.col("id").alias("y")), "key").filter("y < x and y <> head")
+        # of equal sets in a cell the first stands for all, so that a cell full of copies is one probe
+        kinds = inside.groupBy("key", "set_hash").agg(F.min("id").alias("y")).select("key", "y")
+        others = rest.join(kinds, "key").filter("y < x and y <> head")
         by_rest = near.compare(others.select("x", "y").distinct(), vectors, limit).select(F.col("x").alias("id")).distinct()
         return same.unionByName(by_head).unionByName(by_rest).distinct()
 

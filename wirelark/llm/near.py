@@ -5,8 +5,8 @@ the union bounds the overlap with every member, and only groups that pass the bo
 
 Steps, all of them joins and aggregations:
 1. Documents that share a locality key meet; each is compared exactly with the first document of the key's bucket (one
-   candidate a document and bucket, never all pairs). Components of what agrees are the groups of the matrix. Documents
-   with equal sets agree without a comparison.
+   candidate a document and bucket, never all pairs). Documents with equal sets are linked to the first of them without a
+   comparison. Components of what agrees are the groups of the matrix.
 2. Where a bucket still holds several groups, the documents of all but one are queries to the others. The bound is
    computed from 1,024-bit rows: tokens of the query whose bit the union lacks are surely missing. Only groups that can
    reach the limit are opened; their members are compared exactly. No true link that a bucket holds is lost.
@@ -78,6 +78,13 @@ def buckets(docs: DataFrame) -> DataFrame:
     return stage(rows.join(many, "key").select("key", "id", "head"), "near-buckets")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """x, y: each document and the first one of an equal set."""
+    own = docs.filter("n > 0").select("set_hash", "n", "id")
+    first = own.groupBy("set_hash", "n").agg(F.min("id").alias("x"), F.count("*").alias("m")).filter("m > 1")
+    return own.join(first, ["set_hash", "n"]).filter("id > x").select("x", F.col("id").alias("y"))
+
+
 def groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """id, group_id for every document with a link; group_id is the smallest id of the group.
 
@@ -85,13 +92,14 @@ def groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """
     met = buckets(docs)
     star = met.filter("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
-    first = stage(compare(star, docs, limit), "near-links")
+    first = stage(compare(star, docs, limit).unionByName(copies(docs)), "near-links")
     part = connected_components(first, "x", "y")
     of = met.join(part, met["id"] == part["node"], "left").select("key", "id", F.coalesce("component", "id").alias("g"))
     of = stage(of, "near-parts")
     # buckets in which several groups meet
     open_ = of.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
-    left = of.join(open_, "key")
+    left = of.join(open_, "key").join(docs.select("id", "set_hash"), "id")
+    left = left.groupBy("key", "g", "set_hash").agg(F.min("id").alias("id"))  # one of equal sets asks for all
     queries = left.select("key", F.col("id").alias("x"), F.col("g").alias("own"))
     others = left.select("key", "g").distinct()
     asked = stage(queries.join(others, "key").filter("own > g").select("x", "g").distinct(), "near-asked")

@@ -92,7 +92,8 @@ WEAK = (
 
 def line_key(line: Column) -> Column:
     """64 bits of the letters of a line in lower case; null for a line without letters."""
-    return F.xxhash64(F.nullif(F.regexp_replace(F.lower(line), r"[^\p{L}]+", ""), F.lit("")))
+    let = F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
+    return F.when(let != "", F.xxhash64(let))
 
 
 def recurrent_lines(articles: DataFrame, url_col: str, text_col: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
