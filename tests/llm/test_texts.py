@@ -116,7 +116,7 @@ ORGS = [
     (8, "Saint Thockzack Hospital", "Volothkar"), (9, "Rawusail School of Mines", "Rawusail"), (10, "Gaizupax Telecom Holdings Ltd", "Y"),
 ] + [(20 + i, f"{w} Foods Ltd", w) for i, w in enumerate(("Velmorat", "Quistan", "Drofenil", "Wakelow", "Zurmanth"))]
 ORGS += [(100 * k + i, f.format(w), w) for k, f in enumerate(("Saint {} Hospital", "{} General Hospital", "University of {}", "{} Telecom Holdings Ltd", "{} School of Mines", "Ministry of Public Works of {}"), 1)
-         for i, w in enumerate(("Abravenel", "Bostrikad", "Cymbalow", "Dorvangil", "Espinolk", "Fortunak"))]
+         for i, w in enumerate(("Abravenel", "Bostrikad", "Hymbalow", "Dorvangil", "Espinolk", "Fortunak"))]
 MEANS = {
     "BAIPRUCK FOODS LTD": 1, "Baipruckfoods Ltd.": 1, "Foods Baipruck Limited": 1, "Biapruck Foods Ltd": 1, "the Baipruck Foods Ltd group": 1, "Baipruk_Foods": 1, "Baipruck Foods Ltd (Fexsalt)": 1,
     "St. Thockzack Hosp.": 8, "staff at Saint Thokzak Hospital": 8, "M.P.W.C.": 5, "Min. of Public Works of Cuwulm": 5, "Jaivafeark & Harkjos Partners LLP": 6, "Rawusail S. of M.": 9,
