@@ -13,7 +13,7 @@ from wirelark.operators.graph import connected_components
 from wirelark.operators.ranges import within_hours
 from wirelark.params import Params
 from wirelark.plans.fold import fold_incidents
-from wirelark.session import stage, table
+from wirelark.session import spread, stage, table
 from wirelark.sources import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,7 +196,7 @@ def exact_edges(spark: SparkSession, d: str) -> DataFrame:
            nullif({_sim('substring(article_text, 1, 4000)')}, '')) as doc from articles
 """)
 def similarity_docs(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "articles")
+    a = spread(table(spark, d, "articles"))
     return a.select("id", text.similarity_document(F.col("title"), F.col("abstract"), F.col("article_text")).alias("doc"))
 
 
@@ -209,7 +209,7 @@ def _topic_sql(c: str) -> str:
            {_topic_sql('substring(article_text, 1, 4000)')} as x from articles)
 """)
 def topic_docs(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "articles")
+    a = spread(table(spark, d, "articles"))
     return a.select("id", text.topic_document(F.col("title"), F.col("abstract"), F.col("article_text")).alias("doc"))
 
 
@@ -260,7 +260,7 @@ def _tf_sql(source: str) -> str:
 
 @query(f"with d as (select doc_id as id, text as doc from documents), {_tf_sql('d')} select id, count(*) as terms, round(max(w), 6) as top, round(sum(w), 4) as total from wt group by id")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("doc"))
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("doc"))
     w = tfidf.weights(tfidf.counts(docs), docs.count())
     return w.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("top"), F.round(F.sum("w"), 4).alias("total"))
 
@@ -275,7 +275,7 @@ _CDOC = f"""c as (select original_index as id, concat_ws(' ', nullif({_sim(_titl
     group by 1, 2 having sum(a.w * b.w) >= 0.34
 """)
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = dedupe.candidate_columns(table(spark, d, "candidates"))
+    c = dedupe.candidate_columns(spread(table(spark, d, "candidates")))
     p = tfidf.near_pairs(c, 0.34, "original_index", "similarity_document")
     return p.select("i", "j", F.round("score", 6).alias("score"))
 
@@ -293,8 +293,8 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
 """)
 def stored_top_match(spark: SparkSession, d: str) -> DataFrame:
     """The best of the 500 newest stored articles for every candidate."""
-    c = dedupe.candidate_columns(table(spark, d, "candidates"))
-    r = dedupe.recents(table(spark, d, "articles"), 500)
+    c = dedupe.candidate_columns(spread(table(spark, d, "candidates")))
+    r = dedupe.recents(spread(table(spark, d, "articles")), 500)
     stored = r.select((-1 - F.col("id")).alias("id"), "pos", text.similarity_document(F.col("title"), F.col("abstract"), F.col("article_text")).alias("doc"))
     m = tfidf.top_match(c.select(F.col("original_index").alias("id"), F.col("similarity_document").alias("doc")), stored, 0.38)
     return m.select(F.col("id").alias("original_index"), (-1 - F.col("match_id")).alias("match_id"), F.round("score", 6).alias("score"))
@@ -303,22 +303,22 @@ def stored_top_match(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stored_topic_match(spark: SparkSession, d: str) -> DataFrame:
     """The best of the 500 newest stored articles that shares title terms, each candidate in a corpus of its own."""
-    c = dedupe.candidate_columns(table(spark, d, "candidates"))
+    c = dedupe.candidate_columns(spread(table(spark, d, "candidates")))
     cand = c.select(F.col("original_index").alias("id"), F.col("topic_document").alias("doc"), text.salient_terms(F.col("title")).alias("terms"))
-    r = dedupe.recents(table(spark, d, "articles"), 500)
+    r = dedupe.recents(spread(table(spark, d, "articles")), 500)
     doc = text.topic_document(F.col("title"), F.col("abstract"), F.col("article_text"))
     return tfidf.topic_match(cand, r.select("id", "pos", doc.alias("doc"), text.salient_terms(F.col("title")).alias("terms")), 0.40)
 
 
 @query()
 def stored_near_decisions(spark: SparkSession, d: str) -> DataFrame:
-    c = dedupe.candidate_columns(table(spark, d, "candidates"))
-    return dedupe.stored_near(c, dedupe.recents(table(spark, d, "articles"), 500), 0.38, 48)
+    c = dedupe.candidate_columns(spread(table(spark, d, "candidates")))
+    return dedupe.stored_near(c, dedupe.recents(spread(table(spark, d, "articles")), 500), 0.38, 48)
 
 
 @query()
 def current_run_survivors(spark: SparkSession, d: str) -> DataFrame:
-    c = stage(dedupe.candidate_columns(table(spark, d, "candidates")), "q-candidates")
+    c = stage(dedupe.candidate_columns(spread(table(spark, d, "candidates"))), "q-candidates")
     return dedupe.current_run(c, 0.34, 48)
 
 
@@ -446,7 +446,7 @@ _ATT = ", ".join(f"struct_pack(s := {_score_sql(p, (0.65, 0.3, 0.12))}, o := {-i
 
 @query(f"{_CLS}, m as (select id, list_max([{_ATT}]) as m from a) select id, round(least(m.s, 1.0), 6) as confidence, case when least(m.s, 1.0) >= 0.25 then m.n end as attack_type from m")
 def attack_types(spark: SparkSession, d: str) -> DataFrame:
-    a = classify.with_classification(table(spark, d, "articles").drop("attack_type", "article_type"), text="article_text")
+    a = classify.with_classification(spread(table(spark, d, "articles")).drop("attack_type", "article_type"), text="article_text")
     return a.select("id", F.round("attack_confidence", 6).alias("confidence"), "attack_type")
 
 
@@ -455,7 +455,7 @@ _GROUPS = {"incident": classify.INCIDENT, "campaign": classify.CAMPAIGN, "adviso
 
 @query(f"{_CLS} select id, " + ", ".join(f"round(least({_score_sql(p, (0.5, 0.3, 0.2))}, 1.0), 6) as {k}" for k, p in _GROUPS.items()) + " from a")
 def type_scores(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "articles").select("id", F.col("title").alias("t"), text.lead(F.col("article_text")).alias("l"), F.substring("article_text", 1, 6000).alias("b"))
+    a = spread(table(spark, d, "articles")).select("id", F.col("title").alias("t"), text.lead(F.col("article_text")).alias("l"), F.substring("article_text", 1, 6000).alias("b"))
     return a.select("id", *[F.round(classify.pattern_score(p, F.col("t"), F.col("l"), F.col("b")), 6).alias(k) for k, p in _GROUPS.items()])
 
 
@@ -466,7 +466,7 @@ _CORPUS = "s as (select id, t || ' ' || l || ' ' || substring(b, 1, 4000) as c4,
 
 @query(f"{_CLS}, {_CORPUS} select id, {_SCOPE} as in_scope, case {_OOS} end as explicit_reason from s")
 def scope(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "articles").select("id", F.col("title").alias("t"), text.lead(F.col("article_text")).alias("l"), F.substring("article_text", 1, 6000).alias("b"))
+    a = spread(table(spark, d, "articles")).select("id", F.col("title").alias("t"), text.lead(F.col("article_text")).alias("l"), F.substring("article_text", 1, 6000).alias("b"))
     t, l, b = F.col("t"), F.col("l"), F.col("b")
     return a.select("id", classify.in_scope(t, l, b).alias("in_scope"), classify.scope_reason(t, l, b).alias("explicit_reason"))
 
@@ -479,19 +479,19 @@ _RUNGS = """case when o is not null then 'out_of_scope' when not s then 'out_of_
 
 @query(f"{_CLS}, {_CORPUS}, g as (select a.id, case {_OOS} end as o, {_SCOPE} as s, " + ", ".join(f"least({_score_sql(p, (0.5, 0.3, 0.2))}, 1.0) as {k}" for k, p in _GROUPS.items()) + f" from a join s using (id)) select id, {_RUNGS} as article_type from g")
 def article_types(spark: SparkSession, d: str) -> DataFrame:
-    a = classify.with_classification(table(spark, d, "articles").drop("attack_type", "article_type"), text="article_text")
+    a = classify.with_classification(spread(table(spark, d, "articles")).drop("attack_type", "article_type"), text="article_text")
     return a.select("id", "article_type")
 
 
 @query()
 def classification_reasons(spark: SparkSession, d: str) -> DataFrame:
-    a = classify.with_classification(table(spark, d, "articles").drop("attack_type", "article_type"), text="article_text")
+    a = classify.with_classification(spread(table(spark, d, "articles")).drop("attack_type", "article_type"), text="article_text")
     return a.select("id", F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("articles"))
 
 
 @query()
 def victims(spark: SparkSession, d: str) -> DataFrame:
-    a = victim.with_victim(table(spark, d, "articles").select("id", "title", "article_text"), text="article_text")
+    a = victim.with_victim(spread(table(spark, d, "articles")).select("id", "title", "article_text"), text="article_text")
     return a.select("id", "victim.*")
 
 
@@ -688,13 +688,13 @@ def html_texts(spark: SparkSession, d: str) -> DataFrame:
     esc = F.replace(esc, F.lit("&amp;"), F.lit("&amp;amp;"))
     esc = F.replace(esc, F.lit("&lt;"), F.lit("&amp;lt;"))
     page = F.concat(F.lit("<html><body><nav>Menu</nav><div class='ad-box'>Buy</div><div>"), esc, F.lit("</div><footer>End</footer></body></html>"))
-    pages = table(spark, d, "articles").select("id", page.alias("html"))
+    pages = spread(table(spark, d, "articles")).select("id", page.alias("html"))
     return html.extracted(pages).select("id", "full_text")
 
 
 @query()
 def abstracts(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "articles")
+    a = spread(table(spark, d, "articles"))
     return a.select("id", html.abstract(text.squeeze(F.col("article_text")), F.col("abstract")).alias("abstract"))
 
 
