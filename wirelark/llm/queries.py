@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelark.llm import best, canon, encode, history, names, near, pack, pages, repeats
-from wirelark.session import stage, table
+from wirelark.session import spread, stage, table
 
 
 def _stories(spark: SparkSession, d: str) -> DataFrame:
-    return stage(pages.story_sets(table(spark, d, "articles")), "stories")
+    return stage(pages.story_sets(spread(table(spark, d, "articles"))), "stories")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,51 +27,51 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.repeats(table(spark, d, "articles"), table(spark, d, "candidates"))
+    return history.repeats(spread(table(spark, d, "articles")), spread(table(spark, d, "candidates")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs = _stories(spark, d)
     groups = stage(near.groups(docs), "groups")
-    return best.survivors(groups, table(spark, d, "articles"), table(spark, d, "sources"), docs)
+    return best.survivors(groups, spread(table(spark, d, "articles")), table(spark, d, "sources"), docs)
 
 
 def p3_consensus(spark: SparkSession, d: str) -> DataFrame:
     groups = stage(near.groups(_stories(spark, d)), "groups")
-    return best.consensus(groups, table(spark, d, "articles"), "title")
+    return best.consensus(groups, spread(table(spark, d, "articles")), "title")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return pages.residue_found(table(spark, d, "articles"))
+    return pages.residue_found(spread(table(spark, d, "articles")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pages.furniture_found(table(spark, d, "articles"))
+    return pages.furniture_found(spread(table(spark, d, "articles")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return names.linked(table(spark, d, "articles"), table(spark, d, "organisations"))
+    return names.linked(spread(table(spark, d, "articles")), table(spark, d, "organisations"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.repeated_lines(table(spark, d, "articles"))
+    return repeats.repeated_lines(spread(table(spark, d, "articles")))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encoded(table(spark, d, "documents"))
+    return encode.encoded(spread(table(spark, d, "documents")))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    ids = encode.encoded(table(spark, d, "documents"))
+    ids = encode.encoded(spread(table(spark, d, "documents")))
     return pack.packed(stage(ids.select("doc_id", F.size("ids").alias("n_tokens")), "sizes"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return canon.same_looking(table(spark, d, "documents"))
+    return canon.same_looking(spread(table(spark, d, "documents")))
 
 
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return canon.canonical_texts(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "canonical_text")
+    return canon.canonical_texts(spread(table(spark, d, "documents"))).select(F.col("id").alias("doc_id"), "canonical_text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
