@@ -40,7 +40,7 @@ def _encoded(c: Column) -> Column:
 def canonicalize(url: Column) -> Column:
     """One form for a page: no fragment, tracking or blank parameters, sorted query, lower-case scheme and host.
 
-    Null stays null; an empty string becomes "https:///"-less "https:/" as a path without host does.
+    Null stays null; a URL without a host keeps scheme and path ("https:/a").
     """
     u = F.regexp_replace(strip(url), r"[\t\r\n]", "")
     scheme = F.coalesce(F.nullif(F.lower(_part(u, 1)), F.lit("")), F.lit("https"))

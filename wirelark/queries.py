@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,8 +14,9 @@ from wirelark.operators.graph import connected_components
 from wirelark.operators.ranges import within_hours
 from wirelark.params import Params
 from wirelark.plans.fold import fold_incidents
-from wirelark.session import spread, stage, table
+from wirelark.session import shared_dir, spread, stage, table
 from wirelark.sources import feeds
+from wirelark.streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -711,3 +713,33 @@ def full_run(spark: SparkSession, d: str) -> DataFrame:
     held = Store(table(spark, d, "articles"), table(spark, d, "article_fingerprints"), table(spark, d, "alerts"))
     done = run(listings, pages, held, datetime(2026, 1, 1), Params(max_article_age_hours=0))
     return done.outcomes
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _streamed(spark: SparkSession, d: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over a table gives once it has read all of it; its rows go through a file sink."""
+    schema = table(spark, d, name).schema
+    made = make(spark.readStream.schema(schema).parquet(f"{d}/{name}.[p]arquet"))  # a pattern, since a plain path has to be a folder
+    out = f"{shared_dir(spark)}/wirelark-stream-{uuid.uuid4().hex}"
+    q = made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{out}/rows")
+
+
+@query("select distinct url from listings")
+def stream_first_of_key(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d, "listings", lambda s: runs.first_of_key(s.select("url"), "url"))
+
+
+@query()
+def stream_incidents(spark: SparkSession, d: str) -> DataFrame:
+    """Articles by the time they were stored; the same rule as incident_fold over rows with a key."""
+    return _streamed(spark, d, "articles", lambda s: runs.incidents(s, "incident_key", "created_at", "id", 48))
+
+
+@query("select original_index from listings where published_at is null")
+def stream_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """All stored times are older than the limit now, so rows without a time are what passes."""
+    return _streamed(spark, d, "listings", lambda s: runs.fresh(s, "published_at", 1).select("original_index"))
