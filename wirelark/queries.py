@@ -107,30 +107,34 @@ def hash_keys(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_CANON = rf"""
-    with p as (
-        select original_index, regexp_replace(regexp_replace(url, '^{_WS}+|{_WS}+$', '', 'g'), '[\t\r\n]', '', 'g') as u from listings
+def _canon_ctes(source: str) -> str:
+    """CTE q over a relation of original_index and url, with canonical_url in cu."""
+    return rf"""
+    cp as (
+        select original_index, regexp_replace(regexp_replace(url, '^{_WS}+|{_WS}+$', '', 'g'), '[\t\r\n]', '', 'g') as u from {source}
     ),
-    s as (
-        select original_index, '^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?' as re, u from p
+    cs as (
+        select original_index, '^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?' as re, u from cp
     ),
-    q as (
+    cq as (
         select original_index, coalesce(nullif(lower(regexp_extract(u, re, 1)), ''), 'https') as scheme, lower(regexp_extract(u, re, 2)) as host,
                regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, re, 3), ';[^/]*$', ''), '/+', '/', 'g'), '/$', '') as path,
                list_sort(list_filter(list_transform(string_split(regexp_extract(u, re, 4), '&'),
                    lambda x: [url_decode(replace(regexp_extract(x, '^([^=]*)', 1), '+', ' ')), url_decode(replace(regexp_extract(x, '^[^=]*=(.*)$', 1), '+', ' '))]),
                    lambda x: x[2] <> '' and not list_contains(['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid'], lower(x[1])))) as pairs
-        from s
-    )
-    select original_index,
+        from cs
+    ),
+    cu as (
+        select original_index,
            case when host <> '' then scheme || '://' || host else scheme || ':' end || case when path = '' then '/' else path end
            || case when len(pairs) > 0 then '?' || list_aggregate(list_transform(pairs,
                 lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), 'string_agg', '&') else '' end as canonical_url
-    from q
-"""
+        from cq
+    )
+    """
 
 
-@query(_CANON)
+@query(f"with {_canon_ctes('listings')} select * from cu")
 def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "listings").select("original_index", url.canonicalize(F.col("url")).alias("canonical_url"))
 
@@ -232,6 +236,16 @@ def shared_terms(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", text.shared_terms(text.salient_terms(F.col("title")), text.salient_terms(F.col("before"))).alias("shared"))
 
 
+def _entities(c: str) -> str:
+    """The sorted names of a title, as in entity_terms."""
+    head = f"case when contains({c}, ' - ') then regexp_extract({c}, '^(.*) - .*$', 1) else {c} end"
+    known = ", ".join(f"'{k}'" for k in text.KNOWN_ENTITIES)
+    bare = "trim(x, '.,:;!?()[]{}')"
+    found = f"regexp_extract_all({head}, '\\b[A-Z][A-Za-z0-9&.-]{{2,}}\\b|\\b[A-Z]{{2,}}\\b')"
+    kept = f"list_filter({found}, lambda x: length({bare}) > 2 and (upper(x) = x or regexp_matches(x[2:], '[A-Z]') or list_contains([{known}], lower({bare}))))"
+    return f"list_sort(list_distinct(list_transform({kept}, lambda x: lower({bare}))))"
+
+
 @query(r"""
     with t as (select id, regexp_extract_all(case when contains(title, ' - ') then regexp_extract(title, '^(.*) - .*$', 1) else title end,
                       '\b[A-Z][A-Za-z0-9&.-]{2,}\b|\b[A-Z]{2,}\b') as found from articles),
@@ -318,10 +332,36 @@ def stored_near_decisions(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.stored_near(c, dedupe.recents(spread(table(spark, d, "articles")), 500), 0.38, 48)
 
 
-@query()
+def _prio_sql(name: str, link: str) -> str:
+    h = rf"regexp_replace(lower(regexp_extract({link}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '')"
+    one = lambda ds: rf"regexp_matches({h}, '(^|\.)({'|'.join(x.replace('.', chr(92) + '.') for x in ds)})$')"
+    return f"case when {one(url.PRIMARY_DOMAINS)} then 3 when {one(url.REWRITE_DOMAINS)} then 0 when lower(trim({name})) in ('gdelt', 'google news') then 1 else 2 end"
+
+
+@query(f"""
+    with recursive {_CDOC}, {_tf_sql('c')}, {_canon_ctes('candidates')},
+    base as (select original_index as v, canonical_url as cu, sha256({_norm('full_text')}) as ch, sha256({_norm("title || ' ' || substring(full_text, 1, 3000)")}) as fp,
+             published_at as ts, {_salient('title')} as terms, {_entities('title')} as ents, {_prio_sql('source_name', 'url')} as prio from (select * exclude (canonical_url) from candidates) join cu using (original_index)),
+    keys as (select v, 'canonical_url' as reason, cu as k from base union all select v, 'content_hash', ch from base union all select v, 'fingerprint', fp from base),
+    firsts as (select v, reason, min(v) over (partition by reason, k) as f from keys where k is not null),
+    dots as (select a.id as i, b.id as j, sum(a.w * b.w) as score from wt a join wt b on a.term = b.term and a.id < b.id group by 1, 2 having sum(a.w * b.w) >= 0.34),
+    near as (select i, j, score, list_intersect(x.terms, y.terms) as shared_t, list_distinct(list_concat(x.terms, y.terms)) as all_t, list_intersect(x.ents, y.ents) as shared_n
+             from dots join base x on x.v = i join base y on y.v = j where coalesce(abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 172800000000, true)),
+    edges as (select f as s, v as t, reason, cast(null as double) as score from firsts where f < v
+              union all select i, j, 'near_similarity', score from near
+              where score >= 0.40 or len(shared_t) >= 2 or (len(shared_t) > 0 and len(shared_t) / len(all_t) >= 0.25) or len(shared_n) > 0),
+    sides as (select s as x, t as y from edges union select t, s from edges),
+    reach(x, c) as (select distinct x, x from sides union select sides.y, reach.c from reach join sides on sides.x = reach.x),
+    comp as (select x as v, min(c) as component from reach group by x),
+    tags as (select component, string_agg(distinct reason, ',' order by reason) as reasons, max(score) as max_score from edges join comp on comp.v = edges.s group by 1),
+    full_ as (select base.v, coalesce(component, base.v) as component, prio, ts from base left join comp using (v))
+    select v as original_index, component, first_value(v) over (partition by component order by prio desc, ts desc nulls last, v) as survivor, reasons, round(max_score, 6) as max_score
+    from full_ left join tags using (component)
+""")
 def current_run_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates as one run: groups of duplicates and the survivor of each."""
     c = stage(dedupe.candidate_columns(spread(table(spark, d, "candidates"))), "q-candidates")
-    return dedupe.current_run(c, 0.34, 48)
+    return dedupe.current_run(c, 0.34, 48).withColumn("max_score", F.round("max_score", 6))
 
 
 @query("""
