@@ -326,18 +326,35 @@ def stored_topic_match(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.topic_match(cand, r.select("id", "pos", doc.alias("doc"), text.salient_terms(F.col("title")).alias("terms")), 0.40)
 
 
-@query()
-def stored_near_decisions(spark: SparkSession, d: str) -> DataFrame:
-    c = dedupe.candidate_columns(spread(table(spark, d, "candidates")))
-    return dedupe.stored_near(c, dedupe.recents(spread(table(spark, d, "articles")), 500), 0.38, 48)
-
-
 def _prio_sql(name: str, link: str) -> str:
     h = rf"regexp_replace(lower(regexp_extract({link}, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '')"
     one = lambda ds: rf"regexp_matches({h}, '(^|\.)({'|'.join(x.replace('.', chr(92) + '.') for x in ds)})$')"
     return f"case when {one(url.PRIMARY_DOMAINS)} then 3 when {one(url.REWRITE_DOMAINS)} then 0 when lower(trim({name})) in ('gdelt', 'google news') then 1 else 2 end"
 
 
+@query(f"""
+    with {_CDOC},
+    r as (select -1 - id as id, row_number() over (order by created_at desc, id desc) as pos, title, published_at, created_at, {_prio_sql('source_name', 'url')} as prio,
+          concat_ws(' ', nullif({_sim(_title('title'))}, ''), nullif({_sim('abstract')}, ''), nullif({_sim('substring(article_text, 1, 4000)')}, '')) as doc
+          from (select * from articles order by created_at desc, id desc limit 500)),
+    u as (select id, doc from c where trim(doc) <> '' union all select id, doc from r), {_tf_sql('u')},
+    s as (select a.id as i, b.id as j, sum(a.w * b.w) as score from wt a join wt b on a.term = b.term and a.id >= 0 and b.id < 0
+          group by 1, 2 having sum(a.w * b.w) >= 0.38),
+    k as (select s.*, x.title as lt, r.title as rt, {_prio_sql('x.source_name', 'x.url')} as lp, r.prio as rp, row_number() over (partition by i order by round(score, 9) desc, pos) as rn
+          from s join r on r.id = s.j join candidates x on x.original_index = s.i
+          where coalesce(abs(epoch_us(x.published_at) - epoch_us(coalesce(r.published_at, r.created_at))) <= 172800000000, true)),
+    g as (select *, list_intersect({_salient('lt')}, {_salient('rt')}) as shared_t, list_distinct(list_concat({_salient('lt')}, {_salient('rt')})) as all_t,
+          list_intersect({_entities('lt')}, {_entities('rt')}) as shared_n from k where rn = 1)
+    select i as original_index, -1 - j as match_id, round(score, 6) as score, case
+        when not (score >= 0.40 or len(shared_t) >= 2 or (len(shared_t) > 0 and len(shared_t) / len(all_t) >= 0.25) or len(shared_n) > 0) then 'keep'
+        when lp > rp then 'replace' else 'drop' end as decision from g
+""")
+def stored_near_decisions(spark: SparkSession, d: str) -> DataFrame:
+    c = dedupe.candidate_columns(spread(table(spark, d, "candidates")))
+    made = dedupe.stored_near(c, dedupe.recents(spread(table(spark, d, "articles")), 500), 0.38, 48)
+    return made.withColumn("score", F.round("score", 6))
+
+
 @query(f"""
     with recursive {_CDOC}, {_tf_sql('c')}, {_canon_ctes('candidates')},
     base as (select original_index as v, canonical_url as cu, sha256({_norm('full_text')}) as ch, sha256({_norm("title || ' ' || substring(full_text, 1, 3000)")}) as fp,
