@@ -548,14 +548,50 @@ def classification_reasons(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("articles"))
 
 
-@query()
-def victims(spark: SparkSession, d: str) -> DataFrame:
-    a = victim.with_victim(spread(table(spark, d, "articles")).select("id", "title", "article_text"), text="article_text")
-    return a.select("id", "victim.*")
+def _cue_sql(cues: list[str], c: str = "org_name") -> str:
+    return " or ".join(f"contains(lower({c}), '{x}')" for x in cues)
+
+
+def _kind_sql(c: str) -> str:
+    rungs = " ".join(f"when {_cue_sql(x, c)} then '{k}'" for k, x in victim.CUES.items())
+    return f"case {rungs} when regexp_matches({c}, '^\\p{{Lu}}[^\\s]*\\s+\\p{{Lu}}') then 'company' end"
+
+
+def _words_sql(ws: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in ws)
 
 
-def _cue_sql(cues: list[str]) -> str:
-    return " or ".join(f"contains(lower(org_name), '{c}')" for c in cues)
+_FOUND = ", ".join("regexp_extract_all({c}, '" + p.replace("'", "''") + "', 1)" for p in victim.PATTERNS)
+_FOUND = _FOUND.replace("{2,80}", "{{2,80}}").replace("\\p{L}\\p{N}", "\\pL\\pN")
+_NOISE = " ".join(f"when regexp_matches(name, '{x.replace('(?U)', '')}') then 'navigation_noise'" for x in victim.NOISE)
+_EDGES = "^[ .,:;|-]+|[ .,:;|-]+$"
+
+
+@query(f"""
+    with a as (select id, title as t, substring(article_text, 1, {victim.BODY}) as b from articles),
+    r as (select id, 1 as f, cast(0.65 as double) as w, flatten([{_FOUND.format(c='t')}]) as l from a
+          union all select id, 2, cast(0.4 as double), flatten([{_FOUND.format(c='b')}]) from a),
+    u as (select id, f, w, unnest(l) as raw, generate_subscripts(l, 1) as o from r),
+    n as (select id, f, w, o, regexp_replace(regexp_replace(raw, '{_EDGES}', '', 'g'), '{_WS}+', ' ', 'g') as name from u),
+    m as (select *, string_split(name, ' ') as ws from n where length(name) >= 3 and lower(name) not in ({_words_sql(victim.STOP)})),
+    j as (select *, {_kind_sql('name')} as kind, case when len(ws) > 8 then 'too_many_words'
+            when list_has_any(list_transform(ws, lambda x: lower(x)), [{_words_sql(victim.GENERIC)}]) then 'generic_entity'
+            when list_has_any(list_transform(ws, lambda x: trim(lower(x), '.,:;')), [{_words_sql(victim.PRODUCTS)}]) then 'product_fragment'
+            {_NOISE} when contains(name, ' - ') then 'dash_noise' when len(regexp_extract_all(name, '\\p{{Nd}}')) > 3 then 'digit_noise' end as noise from m),
+    s as (select *, least(w + case when len(ws) between 2 and 8 then cast(0.15 as double) else 0 end + case when kind <> 'company' then cast(0.15 as double) else 0 end
+            + case when len(list_filter(ws[1:2], lambda x: regexp_matches(x, '^\\p{{Lu}}'))) > 0 then cast(0.1 as double) else 0 end, 1.0) as score,
+            regexp_replace(name, '{_EDGES}', '', 'g') as final from j),
+    best as (select * from s where noise is null and kind is not null and length(final) >= 3
+             qualify row_number() over (partition by id order by f, round(score, 9) desc, o) = 1),
+    seen as (select id, bool_or(noise = 'generic_entity') as generic, bool_or(noise is not null) as noisy from s group by id)
+    select a.id, final as victim_name, kind as victim_category, round(coalesce(score, 0.0), 6) as confidence,
+        case when f = 1 then 'matched_title' when f = 2 then 'matched_body' when coalesce(generic, false) then 'generic_entity'
+             when coalesce(noisy, false) then 'noisy_candidate' else 'no_named_org' end as reason
+    from a left join best using (id) left join seen using (id)
+""")
+def victims(spark: SparkSession, d: str) -> DataFrame:
+    a = victim.with_victim(spread(table(spark, d, "articles")).select("id", "title", "article_text"), text="article_text")
+    return a.select("id", "victim.*").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("select org_id, case " + " ".join(f"when {_cue_sql(c)} then '{k}'" for k, c in victim.CUES.items()) + r" when regexp_matches(org_name, '^\p{Lu}[^\s]*\s+\p{Lu}') then 'company' end as category from organisations")
