@@ -52,7 +52,11 @@ EDITORIAL = (
     r"editor'?s note|updated (?:to|after|on|at)\b|clarification:|first published|translated from|with (?:files|material) from)"
 )
 COMMENT = r"(?i)^\W*\S+(?: \S+){0,3},? (?:\d+|an?|one|two|three) (?:minutes?|hours?|days?|weeks?|months?) ago\b"
-TEASER_END = r"(?i)(?:\[(?:continue|more|read more|read on)\]|\.\.\. ?more|…\s*more|read more|full story ?>?|read on ?>?|continue reading)\W*$"
+# A whole sentence and then an invitation; after half a sentence it only marks where a story was cut.
+TEASER_END = (
+    r"(?i)[.!?…][\"”’')\]]*\s+(?:\[(?:continue|more|read more|read on)\]|\.\.\. ?more|…\s*more|read more|full story ?>?|"
+    r"read on ?>?|continue reading)\W*$"
+)
 WIDGET = r"(?i)(?:-?\d+ ?°[CF]\b|\bindex -?\d+[.,]\d+\W*$|^\W*(?:yes \d+%|no vote))"
 HEADING = (
     r"(?i)^\W*(?:in other news|related (?:coverage|stories|articles|posts|news)|you may (?:also )?like|you might (?:also )?like|"
@@ -151,11 +155,11 @@ def blocks(texts: pa.Array) -> Blocks:
     marker = np.where(_hit(raw, r"^\s*(?:•|\d+[.)] )"), 2.0, np.where(_hit(raw, r"^\s*[-*–] "), 1.0, 0.0))
     chrome = cue | nav | byline | heading | tail
     prose = (ends & (words >= 7) & ~chrome) | (words >= 12) & ~chrome & ~title
-    # a run of teasers lasts from its heading to the next line of prose or other furniture
+    # a run of teasers lasts from its heading to the next line of prose, list item of a story or other furniture
     at = np.arange(n)
     first = np.r_[True, d[1:] != d[:-1]]
     opened = np.maximum.accumulate(np.where(heading, at, -1))
-    broken = np.maximum.accumulate(np.where(first | prose | ((cue | nav | byline | tail) & ~heading), at, -1))
+    broken = np.maximum.accumulate(np.where(first | prose | (marker == 1) | ((cue | nav | byline | tail) & ~heading), at, -1))
     run = (opened >= 0) & (opened >= broken) & ~heading
     x = np.column_stack([
         chrome, words, link, _shift(words, d, 1, 0), _shift(words, d, -1, 0), _shift(link, d, 1, 1), _shift(link, d, -1, 1),

@@ -91,6 +91,7 @@ LABELLED = """
 + From ticket to gateway in 12 hours
 + The head of archives reported the copy was complete, but lawyers in Eastmoor disagreed. (continues)
 + What teachers in Northgate were told
++ The council heard that auditors had asked for the roster and a second Continue reading
 + Copies of the roster were sold on a forum for 3,000 dollars, a price the buyers called fair.
 - The intruders spent 40 days renaming the ledger and copying each form they could reach. [Continue]
 - Losses were put at 12,000 dollars, most of it tied to a parking fine. ... more
@@ -184,12 +185,48 @@ LABELLED = """
 - Inside the copied badge case at Oakden Foods Ltd
 - Teachers of Westrow College warned about false payroll vishing
 + The group behind BrightKit is linked to Eastmoor and to an earlier parking case.
+- More from Harbour Lantern
+- Regulator asks Larkfield Hospital for shared ledger
+- 3. Ferry outage traced to BrightKit
++ Who copied the second badge
++ The kiosk vendor said that the old gateway had been closed in March and opened again by mistake.
+- In other news
+- • Vishing crew targets pilots with false map lure
+- Nurses of Larkfield Hospital warned about false roster phishing
++ What clerks in Northgate were told
++ Insurers have paid 40 claims over the parking fines, and a court will hear the rest in June.
+- You may also like
+- Regulator asks Oakden Foods Ltd for payroll
+- Northgate kiosk outage traced to BrightKit
++ Deliveries of paper forms took nine days, the manager said, because the ferry office could not be opened in time.
+- Most read
+- BrightKit returns with a false ledger and map
+- 2. Westrow ferry outage traced to DarkKit
++ Whoever opened the kiosk also copied a scanner key, an auditor told the council on Friday in a closed session.
+- Related coverage
+- Inside the copied badge case at Oakden Foods Ltd
++ From kiosk to ferry in 90 hours
++ Staff were told on Tuesday to keep the paper forms until the new roster had been checked twice.
+
++ The hospital said on Monday that two servers had been replaced and that no record was missing.
+- Related coverage
+- Ferry company apologises for a week of cancelled sailings
+- • Two hospitals share one roster after the winter storm
+- Why the harbour tower stays dark until spring comes
+- Advertisement
++ A second hospital, warned in May, found the same letter in 40 mailboxes and told its staff to delete it.
+- You may also like
+- 1. Small towns pay twice for one stolen ledger
+- 2. Old maps of Northgate return to the library
+- Library staff learn to spot a false invoice
+- Copyright 2023 Harbour Lantern. All rights reserved.
 
 - Breaking
 - Latest headlines
 - Ferry prices climb again
 - Council meets on Monday
 - Teachers plan a march
+- Advertisement
 + The ferry company apologised on Friday for a week of cancelled sailings and promised refunds to every passenger.
 + A spokesman said the fault had been found in a gateway that nobody had patched since March.
 - Photo: harbour at dawn
