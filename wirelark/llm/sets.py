@@ -15,8 +15,8 @@ import pyarrow as pa
 import xxhash
 
 WORDS = 3
-#: Locality keys: BANDS of ROWS minima each. Of pairs at the limit (0.5) more than 0.999 share a key; see README.
-BANDS, ROWS = 32, 3
+#: Locality keys: BANDS of ROWS minima each. How many pairs share one at each similarity is in the README.
+BANDS, ROWS = 48, 3
 LONGS = 16
 NAMES = ("n", "words", "set_hash", "toks", *(f"b{i}" for i in range(LONGS)), "keys")
 DDL = "n int, words int, set_hash bigint, toks array<int>, " + ", ".join(f"b{i} bigint" for i in range(LONGS)) + ", keys array<bigint>"
