@@ -68,7 +68,7 @@ def query(sql: str | None = None):
 
 
 def _ts(s: str) -> Column:
-    return F.lit(s).cast("timestamp")
+    return F.lit(s + "Z").cast("timestamp")
 
 
 # ---------------------------------------------------------------- hash keys and exact duplicates
@@ -398,7 +398,7 @@ def exact_components(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- times, orders, limits
 
 
-@query(f"select original_index from listings where published_at is null or published_at >= timestamp '{AS_OF}' - interval 168 hour")
+@query(f"select original_index from listings where published_at is null or published_at >= timestamptz '{AS_OF}+00' - interval 168 hour")
 def fresh_listings(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.fresh(table(spark, d, "listings"), _ts(AS_OF), 168).select("original_index")
 
@@ -719,7 +719,7 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    with t as (select id from articles where created_at >= timestamp '{AS_OF}' - interval 30 day)
+    with t as (select id from articles where created_at >= timestamptz '{AS_OF}+00' - interval 30 day)
     select (select count(*) from t) as articles_deleted, (select count(*) from article_fingerprints where article_id in (select id from t)) as article_fingerprints_deleted,
         (select count(*) from alerts where article_id in (select id from t)) as alerts_deleted
 """)
@@ -729,9 +729,9 @@ def retention_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    select 'articles' as name, id from articles where not created_at >= timestamp '{AS_OF}' - interval 30 day
-    union all select 'article_fingerprints', f.id from article_fingerprints f where not exists (select 1 from articles a where a.id = f.article_id and created_at >= timestamp '{AS_OF}' - interval 30 day)
-    union all select 'alerts', f.id from alerts f where not exists (select 1 from articles a where a.id = f.article_id and created_at >= timestamp '{AS_OF}' - interval 30 day)
+    select 'articles' as name, id from articles where not created_at >= timestamptz '{AS_OF}+00' - interval 30 day
+    union all select 'article_fingerprints', f.id from article_fingerprints f where not exists (select 1 from articles a where a.id = f.article_id and created_at >= timestamptz '{AS_OF}+00' - interval 30 day)
+    union all select 'alerts', f.id from alerts f where not exists (select 1 from articles a where a.id = f.article_id and created_at >= timestamptz '{AS_OF}+00' - interval 30 day)
 """)
 def retention_delete(spark: SparkSession, d: str) -> DataFrame:
     names = ("articles", "article_fingerprints", "alerts")
