@@ -53,6 +53,29 @@ def test_no_residue(text):
     assert flags(text) == [False]
 
 
+FILL = "Lorem ipsum " + " ".join(f"quorn{'abcdefghijklmnopqrst'[i]}" for i in range(20)) + "."
+LONG = [
+    FILL, "Menu\nHome\n" + FILL + "\nAll rights reserved",
+    "Please enable JavaScript in the settings of your browser and then load this page again, since a.test shows its stories with scripts that have to run first.",
+    "404 Not Found. The page you asked for is gone. It may have moved to another place. Use the search or go back to the front page.",
+    "at run (/srv/app/main.js:10:2) at load (/srv/app/load.js:33:9) at async start (/srv/app/start.js:7:1) at next (/srv/app/q.js:8:4) at each (/srv/app/q.js:9:4) at all (/srv/app/q.js:9:5) at end (/srv/app/q.js:9:6)",
+]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_long_lines_of_evidence(text):
+    assert max(len(x.split()) for x in text.split("\n")) > 20 and flags(text) == [True]
+
+
+@pytest.mark.parametrize("text", [
+    "Error 503 was all that visitors of the clinic in Northgate saw for nine hours on Monday, until the vendor had put a clean copy back.",
+    "Page not found. " + STORY + " " + STORY, STORY + " Visitors saw a notice. Page not found. That was all for nine hours on Monday.",
+    "Qwerty was again the most common of the nine million words in the leak that the clinic in Northgate reported on Monday to the police.",
+])
+def test_long_lines_of_stories(text):
+    assert flags(text) == [False]
+
+
 def test_boilerplate_of_a_host_is_subtracted():
     line = "Our readers in all nine districts can call the desk at any hour of the day."
     text = line + "\n503 Service Unavailable"

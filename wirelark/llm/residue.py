@@ -82,6 +82,20 @@ EVIDENCE = (
     r"(?:i'?m|i am) not a robot|ddos protection|attention required|this (?:process|check) is automatic|loading\b.{0,30}$|performance (?:&|and) security by"
     r")"
 )
+#: A line of more words than this is judged sentence by sentence, since a story may begin with the words of a notice.
+LINE, PROSE = 20, 9
+#: Filler that no story begins with: all of its line is filler, however long.
+FILLER = r"(?i)^\W*(?:lorem ipsum\b|dolor sit amet|asdf\b|(?:qwerty\W+){2}|(?:x{3,}\W+){2}|test(?:ing)? test\b|\[object object\])"
+#: Sentences that no story has, however long: stack traces, status codes with their phrase, orders to switch scripts on.
+NOTICE = (
+    r"(?i)^\W*(?:at (?:async )?[\w.$<>]+ ?\(\S+:\d+(?::\d+)?\)|traceback \(most|warning: \w+\(|notice: undefined|"
+    r"(?:http )?(?:error )?[45]\d\d\b[ \-–:]*(?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|gone|internal server error|"
+    r"service (?:temporarily )?unavailable|gateway time-?out|too many requests)(?:\W*$| ?[.:;|–\-]| (?:nginx|apache|the (?:requested|server)|you|your|request|reference)\b)|"
+    r"(?:please |you (?:must|need to|should) )?(?:enable|activate|allow|switch on|turn on) (?:your )?(?:java ?scripts?|cookies|scripting)\b|"
+    r"(?:to|without) .{0,40}\benable java ?script|veuillez activer|bitte aktivieren|(?:por favor,? )?(?:active|habilite) java|"
+    r"java ?script (?:is|must be|needs to be) (?:required|disabled|enabled|turned o\w+|switched o\w+|activated)\b.{0,20}\b(?:your|to (?:use|view|see|read|continue|run|display))\b|"
+    r"(?:we are |we're )?(?:checking|verifying) (?:that |if )?(?:your (?:browser|connection)|you are (?:a )?human)|ddos protection by)"
+)
 #: Words that mark a short residue without a sentence as a notice.
 WEAK = (
     r"(?i)\b(?:java ?script|script(?:s|ing)\b.{0,30}\b(?:blocker|turn|needs?|enable)|content blocker|ad ?blocker|captcha|robot|reload|"
@@ -131,6 +145,39 @@ def _key(line: str) -> int | None:
     return h - (1 << 64) if h >> 63 else h
 
 
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W_a-z])")
+
+
+def _matches(t: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(t, pattern).to_numpy(zero_copy_only=False)
+
+
+def _words(t: pa.Array) -> np.ndarray:
+    return pc.count_substring(t, " ").to_numpy(zero_copy_only=False) + 1
+
+
+def evident_lines(t: pa.Array) -> np.ndarray:
+    """Whether each line says that there is no content.
+
+    A long line that begins with evidence is judged as if each of its sentences stood on a line of its own: one is evidence and none is prose.
+    """
+    out = _matches(t, EVIDENCE)
+    long = np.flatnonzero(out & (_words(t) > LINE))
+    if not len(long):
+        return out
+    lines = t.take(pa.array(long))
+    filler = _matches(lines, FILLER)
+    cut = [_SENTENCE.split(x) for x in lines.to_pylist()]
+    of = np.repeat(np.arange(len(long)), [len(x) for x in cut])
+    one = pa.array([x for c in cut for x in c], pa.string())
+    n = _words(one)
+    says = _matches(one, NOTICE) | _matches(one, EVIDENCE) & (n <= LINE)
+    some = np.bincount(of[says], minlength=len(long)) > 0
+    prose = np.bincount(of[~says & (n >= PROSE)], minlength=len(long)) > 0
+    out[long] = filler | some & ~prose
+    return out
+
+
 def flags(
     texts: pa.Array, recurrent: list | None = None, parts: tuple[Blocks, np.ndarray] | None = None
 ) -> np.ndarray:
@@ -145,16 +192,15 @@ def flags(
         return np.zeros(n, dtype=bool)
     line, doc = b.line.take(pa.array(keep)), b.doc[keep]
     t = pc.utf8_trim(squeeze(line), " |*»")
-    hit = lambda p: pc.match_substring_regex(t, p).to_numpy(zero_copy_only=False)
+    hit = lambda p: _matches(t, p)
     holder = hit(r"[{}<>%#\[$@_(]|TK")
     if holder.any():
         holder[holder] = pc.match_substring_regex(t.filter(pa.array(holder)), PLACEHOLDER).to_numpy(zero_copy_only=False)
         rest = pc.replace_substring_regex(t.filter(pa.array(holder)), f"(?i){_SAFE}", "")
         holder[holder] = pc.match_substring_regex(rest, PLACEHOLDER).to_numpy(zero_copy_only=False)
-    words = pc.count_substring(t, " ").to_numpy(zero_copy_only=False) + 1
-    evident = hit(EVIDENCE) & (words <= 20)
+    evident = evident_lines(t)
     out = np.bincount(doc[holder], minlength=n) > 0
-    prose = ~bad[keep] & ~evident & (words >= 9)
+    prose = ~bad[keep] & ~evident & (_words(t) >= PROSE)
     # a residue without a sentence: boilerplate of the host goes first, then evidence decides
     open_ = ~out & (np.bincount(doc[prose], minlength=n) == 0) & (np.bincount(doc, minlength=n) > 0)
     if recurrent is not None:
