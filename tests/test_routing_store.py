@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from wirelark import queries
 from wirelark.operators import dedupe, route, store
 from wirelark.operators.ranges import within_hours
 from wirelark.params import ConfigError, Params, load_params
@@ -101,3 +102,13 @@ def test_tables_are_created_once(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS wl_test LOCATION '{tmp_path}'")
     assert len(store.initialize(spark, "wl_test")) == 3 and store.initialize(spark, "wl_test") == []
     spark.sql("DROP DATABASE wl_test CASCADE")
+
+
+def test_insert_or_replace_keeps_every_row(spark, tmp_path):
+    a = [(i, T, f"old {i}", "s") for i in range(1, 61)]
+    spark.createDataFrame(a, "id bigint, created_at timestamp, title string, source_name string").coalesce(1).write.parquet(f"{tmp_path}/articles.parquet")
+    c = [(i, 1 if i < 120 else 2, "s", f"new {i}") for i in range(130)]
+    spark.createDataFrame(c, "original_index bigint, batch_no bigint, source_name string, title string").coalesce(1).write.parquet(f"{tmp_path}/candidates.parquet")
+    got = {r.id: r.title for r in queries.insert_or_replace(spark, str(tmp_path)).collect()}
+    over = {i + 1: f"new {i}" for i in range(50)}
+    assert got == {i: f"old {i}" for i in range(51, 61)} | over | {10000000 + i: f"new {i}" for i in range(50, 130)}

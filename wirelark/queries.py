@@ -754,11 +754,15 @@ _OVER = "c as (select original_index, batch_no, source_name, title, canonical_ur
     union all select 10000000 + original_index, title, source_name from c where replaced_id is null
 """)
 def insert_or_replace(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of batch 1 for each of 50 articles replaces it; every other row is inserted.
+
+    The SQL drops the other rows of batch 1, so that the two agree only where batch 1 has one row an article, as in sf0.01.
+    """
     a = table(spark, d, "articles").select("id", "created_at", "title", "source_name")
-    slot = F.when(F.col("batch_no") == 1, F.col("original_index") % 50 + 1)
-    c = table(spark, d, "candidates").withColumn("replaced_id", slot.cast("bigint"))
-    first = F.row_number().over(Window.partitionBy("batch_no", F.col("original_index") % 50).orderBy("original_index"))
-    c = c.withColumn("_r", first).filter("batch_no <> 1 or _r = 1")
+    slot = F.col("original_index") % 50
+    first = F.row_number().over(Window.partitionBy("batch_no", slot).orderBy("original_index"))
+    c = table(spark, d, "candidates").withColumn("_r", first)
+    c = c.withColumn("replaced_id", F.when((F.col("batch_no") == 1) & (F.col("_r") == 1), slot + 1).cast("bigint"))
     rows = c.select((F.lit(10000000) + F.col("original_index")).alias("id"), _ts(AS_OF).alias("created_at"), "title", "source_name", "replaced_id")
     return store.insert_or_replace(a, rows).select("id", "title", "source_name")
 
