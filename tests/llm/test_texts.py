@@ -139,3 +139,10 @@ def test_spellings(spark):
 
 def test_edits():
     assert names.edits("abc", "acb", 2) == 1 and names.edits("abc", "abc", 2) == 0 and names.edits("abc", "xyz", 2) == 3 and names.edits("ab", "abcde", 2) == 3
+def test_initials_of_a_merged_spelling(spark):
+    rows = [(1, "Velmorat Foods"), (2, "V.F."), (3, "Quistan Foods"), (4, "Q. F.")]
+    orgs = spark.createDataFrame([o for o in ORGS if o[1] in {f"{w} Foods Ltd" for w in ("Velmorat", "Quistan", "Drofenil", "Wakelow", "Zurmanth", "Baipruck")}], "org_id bigint, org_name string, city string")
+    df = spark.createDataFrame(rows, "id bigint, victim_name string")
+    assert {r.id: r.org_id for r in names.linked(df, orgs).collect()} == {1: 20, 2: 20, 3: 21, 4: 21}
+
+
