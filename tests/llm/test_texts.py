@@ -78,6 +78,24 @@ def test_containers(spark):
     assert pack.packed(spark.createDataFrame([], "doc_id bigint, n_tokens int")).count() == 0
 
 
+@pytest.mark.parametrize("n", [800, 900])
+def test_windows_rise_one_by_one(n):
+    r = random.Random(5)
+    sizes = [r.randint(300, 2048) for _ in range(n)]
+    m = max(1, -(-sum(sizes) // 2048))
+    while max(sum(sizes[k] for k in w) for w in pack.differencing(sizes, m)) > 2048:
+        m += 1
+    assert max(pack.fill(sizes, 2048)) + 1 == m > 400
+
+
+def test_full_pieces_share_no_container(spark):
+    rows = [(1, 4200 * 8), (2, 8 * 5), (3, 7), (2**52, 24), (4, 4200 * 8 + 1)]
+    got = pack.packed(spark.createDataFrame(rows, "doc_id bigint, n_tokens int"), capacity=8, shard=2).collect()
+    whole = [r.container for r in got if r.n_tokens == 8]
+    assert len(whole) == len(set(whole)) == 4200 + 5 + 3 + 4200 and max(whole) < 0
+    assert len({(r.doc_id, r.piece_no) for r in got}) == len(got) and sum(r.n_tokens for r in got) == sum(n for _, n in rows)
+
+
 SAME = [
     ("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("ﬁne oﬃce", "fine office"), ("café", "café"), ("zero​width﻿", "zerowidth"), ("soft­hyphen", "softhyphen"), ("no break", "no break"),
     ("pаyрal", "paypal"), ("Ον", "Ov"), ("\U0001d400\U0001d5ba", "Aa"), ("non‑breaking", "non-breaking"), ("Ё", "Ë"), ("ạ̇", "ạ̇"),

@@ -16,7 +16,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY, SHARD = 2048, 3000
@@ -64,7 +64,7 @@ def fill(sizes: list[int], capacity: int) -> list[int]:
         made = differencing(own, m)
         if max(sum(own[k] for k in w) for w in made) <= capacity:
             break
-        m += max(1, m // 200)
+        m += 1
     for i, w in enumerate(made):
         for k in w:
             at[real[k]] = i
@@ -81,7 +81,8 @@ def packed(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens",
         "n",
     ).select("doc_id", "piece_no", F.least(F.lit(capacity), F.col("n") - (F.col("piece_no") - 1) * capacity).alias("n_tokens"))
     full = F.col("n_tokens") == capacity
-    shards = max(1, -(-pieces.filter(~full).count() // shard))
+    n_loose, n_whole = pieces.agg(F.count_if(~full), F.count_if(full & (F.col("piece_no") == 1))).first()
+    shards, wholes = (max(1, -(-n // shard)) for n in (n_loose, n_whole))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece_no"], kind="stable")
@@ -96,8 +97,14 @@ def packed(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens",
         .groupBy("shard")
         .applyInPandas(run, f"doc_id {kind}, piece_no int, n_tokens int, container bigint")
     )
-    # a full piece is a container of its own; its number is negative, so that no shard's can be equal
-    whole = pieces.filter(full).withColumn(
-        "container", F.lit(-1).cast("bigint") - F.shiftleft(F.col("doc_id").cast("bigint"), 12) - F.col("piece_no")
+    # a full piece is a container of its own; they are counted on in each shard, as negative numbers that no loose one has
+    before = Window.partitionBy("shard").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    whole = (
+        rows.withColumn("whole", F.floor(F.col("n") / capacity))
+        .filter("whole > 0")
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(wholes)))
+        .withColumn("before", F.coalesce(F.sum("whole").over(before), F.lit(0)))
+        .select("doc_id", "shard", "before", F.explode(F.sequence(F.lit(1), F.col("whole").cast("int"))).alias("piece_no"))
+        .select("doc_id", "piece_no", F.lit(capacity).alias("n_tokens"), (-F.shiftleft("shard", 32) - F.col("before") - F.col("piece_no")).alias("container"))
     )
     return loose.unionByName(whole)
