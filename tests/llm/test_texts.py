@@ -98,7 +98,7 @@ def test_full_pieces_share_no_container(spark):
 
 SAME = [
     ("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("ﬁne oﬃce", "fine office"), ("café", "café"), ("zero​width﻿", "zerowidth"), ("soft­hyphen", "softhyphen"), ("no break", "no break"),
-    ("pаyрal", "paypal"), ("Ον", "Ov"), ("\U0001d400\U0001d5ba", "Aa"), ("non‑breaking", "non-breaking"), ("Ё", "Ë"), ("ạ̇", "ạ̇"),
+    ("pаyрal", "paypal"), ("Ον", "Ov"), ("\U0001d400\U0001d5ba", "Aa"), ("non‑breaking", "non-breaking"), ("Ё", "Ë"), ("\U0002f800", "\u4e3d"), ("\U0002fa1d", "\U0002a600"), ("a\ufe50 b\ufe57", "a, b!"), ("\ufe35a\ufe36", "(a)"), ("a\ufe19", "a\u2026"), ("\ufe30", "\u2025"), ("ạ̇", "ạ̇"),
 ]
 OTHER = [("a", "A"), ("e", "é"), ("x²", "x2"), ("a-b", "a—b"), ("1", "2"), ("\U0001f469‍\U0001f4bb", "\U0001f469\U0001f4bb"), ("“a”", '"a"'), ("a b", "a  b"), ("и", "й"), ("か", "が")]
 
@@ -155,8 +155,6 @@ def test_spellings(spark):
     assert names.linked(df.limit(0), orgs).count() == 0 and names.linked(df, orgs.limit(0)).count() == 0
 
 
-def test_edits():
-    assert names.edits("abc", "acb", 2) == 1 and names.edits("abc", "abc", 2) == 0 and names.edits("abc", "xyz", 2) == 3 and names.edits("ab", "abcde", 2) == 3
 def test_initials_of_a_merged_spelling(spark):
     rows = [(1, "Velmorat Foods"), (2, "V.F."), (3, "Quistan Foods"), (4, "Q. F.")]
     orgs = spark.createDataFrame([o for o in ORGS if o[1] in {f"{w} Foods Ltd" for w in ("Velmorat", "Quistan", "Drofenil", "Wakelow", "Zurmanth", "Baipruck")}], "org_id bigint, org_name string, city string")
@@ -164,3 +162,5 @@ def test_initials_of_a_merged_spelling(spark):
     assert {r.id: r.org_id for r in names.linked(df, orgs).collect()} == {1: 20, 2: 20, 3: 21, 4: 21}
 
 
+def test_edits():
+    assert names.edits("abc", "acb", 2) == 1 and names.edits("abc", "abc", 2) == 0 and names.edits("abc", "xyz", 2) == 3 and names.edits("ab", "abcde", 2) == 3

@@ -38,7 +38,7 @@ INVISIBLE = frozenset(map(chr, (
 )))
 BLANKS = frozenset(map(chr, (0x9, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 HYPHENS = frozenset(map(chr, (0x2010, 0x2011, 0xFE63, 0xFF0D, 0x2043)))
-_STYLES = ("<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>")
+_STYLES = ("<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<small>", "<vertical>")
 #: Signs with a compatibility form of several signs that look different.
 _KEEP = frozenset(map(chr, (0x2024, 0x2025, 0x2026, 0x2047, 0x2048, 0x2049)))
 
@@ -54,7 +54,7 @@ def _tables() -> tuple[re.Pattern, dict[int, str], dict[int, str]]:
     like = {ord(p[0]): p[1] for p in LOOKALIKE.split()}
     first: dict[int, str] = {}
     unstable: list[int] = []
-    for o in range(0x20000):
+    for o in range(0x30000):
         c = chr(o)
         if 0x20 <= o < 0x7F or c == "\n" or 0xD800 <= o < 0xE000:
             continue
@@ -69,7 +69,8 @@ def _tables() -> tuple[re.Pattern, dict[int, str], dict[int, str]]:
         elif c in HYPHENS:
             first[o] = "-"
         elif form.startswith(_STYLES) and c not in _KEEP and u.category(c) != "Mn":
-            plain = u.normalize("NFKC", c)
+            one = chr(int(form.split()[1], 16))  # "…" in a vertical form is "…" too
+            plain = one if one in _KEEP else u.normalize("NFKC", c)
             if plain.strip() or not c.strip():
                 first[o] = plain
         d = u.normalize("NFD", first.get(o, c))
