@@ -1,12 +1,9 @@
 """Problem 7: lines that one source repeats over its documents.
 
-Method: lines are parsed into templates by a fixed-depth token tree with wildcard slots; the trees of the partitions are
-merged; templates that cover many documents of a source are its furniture, and the lines they hold can be removed.
-
-The tree has the levels source, number of tokens, and the first DEPTH tokens. Its partial form is a count for each path
-in a partition; partial trees merge by adding counts, which is what an aggregation does before and after its shuffle. A
-token that too few documents have below its node becomes a wildcard slot. The tokens of a line are its letters in lower
-case, cut at a fixed width, since lines count as equal whatever their spacing, digits, case or signs.
+Method: lines are counted by a prefix bucket, which stands in for a token tree with wildcard slots: source, number of
+letters and the first DEPTH pieces of WIDTH letters. There is no tree and no wildcard, since a line is a case by its own
+exact count and slots would only hold more lines to count. Counts are summed in each partition before the shuffle. Letters
+are in lower case, since lines count as equal whatever their spacing, digits, case or signs.
 
 A template covers every line that it holds, so that a line in enough documents is in a template that covers enough; the
 templates that do are opened, and their lines are counted exactly.
@@ -48,9 +45,9 @@ def _least(share: float, least: int) -> Column:
 
 
 def templates(lines: DataFrame, sizes: DataFrame, share: float, least: int) -> DataFrame:
-    """source, size, t0..: the paths of the merged tree that cover enough lines, rare tokens as wildcard '<*>'.
+    """source, size, t0..: the prefix buckets that hold enough lines.
 
-    Lines of a document are summed, so that a path's count bounds its documents from above.
+    Lines of a document are summed, so that a bucket's count bounds its documents from above.
     """
     path = ["source", "size", *[f"t{i}" for i in range(DEPTH)]]
     tree = lines.groupBy(*path).agg(F.count("*").alias("covered"))
