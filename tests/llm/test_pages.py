@@ -7,11 +7,16 @@ from wirelark.llm import body, pages, repeats, residue, tree
 from wirelark.llm.blocks import blocks
 
 STORY = "The clinic in Northgate said on Tuesday that its booking system had been restored from a clean copy."
-SCHEMA = "id bigint, url string, source_name string, article_text string, abstract string, extra string"
+SCHEMA = "id bigint, url string, source_name string, article_text string, abstract string, title string"
 
 
 def flags(*texts, recurrent=None):
-    return residue.flags(pa.array(texts, pa.string()), recurrent).tolist()
+    hosts = residue.Hosts(pa.array(["h"] * len(texts)), pa.array([recurrent] * len(texts), pa.list_(pa.int64()))) if recurrent else None
+    return residue.flags(pa.array(texts, pa.string()), hosts).tolist()
+
+
+def key(line):
+    return int(residue.line_keys(pa.array([line]))[0])
 
 
 def test_tree_learns_its_table():
@@ -22,8 +27,8 @@ def test_tree_learns_its_table():
 def test_tree_on_held_out_pages():
     page = (
         "Sections > Home > Policy\nWe use cookies. Accept all\nBy Ada Byron\n" + STORY + "\nHow the key was lost\n"
-        "Two nurses noticed the fault on Monday and called the help desk at once.\n- reset every badge\nMost read\n1. Regulator asks Oakden Ltd for ledger\n"
-        "Nurses of Oakden Ltd warned about false map phishing\nCopyright 2022 The Bell. All rights reserved."
+        "Two nurses noticed the fault on Monday and called the help desk at once.\n- reset every badge\nMost read\n1. Why the night train stops at every barn\n"
+        "Village choir sings for the last time in its old hall\nCopyright 2022 The Bell. All rights reserved."
     )
     b, bad = body.furniture(pa.array([page]))
     assert bad.tolist() == [True, True, True, False, False, False, False, True, True, True, True]
@@ -38,7 +43,9 @@ def test_blocks_of_null_empty_and_long_texts():
 @pytest.mark.parametrize("text", [
     "Dear {{ first_name }},", STORY + " It was {% amount %} then.", STORY + "\nSaid [[SPOKESPERSON]] today.", "On ${date} we saw it.", "TKTK", "%%LEAD%%", "<%= body %>", "__headline__",
     "Page not found. The link may be old.", "503 Service Unavailable", "Please enable JavaScript to use a.test.", "Sign in to keep reading.", "lorem ipsum dolor", "null", "N/A",
-    "Menu\nHome\n404 Not Found\nAll rights reserved", "a.test is down for planned maintenance.", "Zugriff verweigert", "<AMOUNT here>", "[object Object]",
+    "Menu\nHome\n404 Not Found\nAll rights reserved", "We could not find the story you asked for (ab4ef655). It may have been removed by the editor.",
+    "Back to top\nCould not load this page. Go back and try the link again in a few minutes from now.", "Menu\nThis is sample copy for the front page. Replace it with your own text before publishing.",
+    "a.test is down for planned maintenance.", "Zugriff verweigert", "<AMOUNT here>", "[object Object]",
 ])
 def test_residue(text):
     assert flags(text) == [True]
@@ -80,13 +87,14 @@ def test_boilerplate_of_a_host_is_subtracted():
     line = "Our readers in all nine districts can call the desk at any hour of the day."
     text = line + "\n503 Service Unavailable"
     assert flags(text) == [False]
-    assert flags(text, recurrent=[[residue._key(line)]]) == [True]
+    assert flags(text, recurrent=[key(line.replace("nine", "these"))]) == [True]
+    assert flags(text, STORY + "\n503 Service Unavailable", recurrent=[key(line)]) == [True, False]
 
 
 def test_keys_agree_with_spark(spark):
-    lines = ["Tell a friend", "ÄÖ-ü 12", "12 !", ""]
+    lines = ["Tell a friend", "ÄÖ-ü 12", "12 !", "", " One two-three 4th four five six: seven eight, nine ten!", STORY]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(residue.line_key(F.col("x"))).collect()]
-    assert got == [residue._key(x) for x in lines]
+    assert [k or 0 for k in got] == [key(x) for x in lines]
 
 
 def articles(spark, rows):
@@ -101,10 +109,24 @@ def test_page_operators(spark):
         assert f(df.limit(0)).count() == 0
 
 
+def test_notices_by_counts(spark):
+    said = "Nothing of this kind is held on our shelves under the mark that was given ({}). The clerks may have moved it."
+    titles = ["Storm shuts road", "Choir sings again", "Bread gets dearer", "Lamp posts vanish", "Goats win prize", "Tram runs late"]
+    rows = [(i, f"https://h{i % 3}.test/{i}", "S", "Menu\n" + said.format(f"a{i}f{i}"), None, t) for i, t in enumerate(titles)]
+    # copies of one story under other titles, and one page alone
+    copy = "The clerks of the city found the ledger of the harbour in a cellar and gave it back to the crew at once."
+    rows += [(10 + i, f"https://h{i % 3}.test/x{i}", "S", copy, None, f"{t.split()[0]} at Larkfield") for i, t in enumerate(titles)]
+    rows.append((30, "https://h1.test/y", "S", said.replace("clerks", "nurses"), None, "Once more"))
+    df = spark.createDataFrame(rows, "id bigint, url string, source_name string, article_text string, abstract string, title string")
+    assert {r.id for r in pages.residue_found(df).collect()} == set(range(6))
+    assert {r.id for r in pages.story_sets(df).collect()} == {*range(10, 16), 30}
+    assert {(r.id, r.line_no) for r in pages.furniture_found(df.union(df.limit(0))).collect()} == set()
+
+
 def test_recurrent_lines(spark):
-    df = articles(spark, [("Call the desk 1\n" + STORY.replace("Tuesday", f"day{'x' * i}"), "") for i in range(20)])
+    df = articles(spark, [("Call the desk 1\n" + "x" * (i + 1) + STORY, "") for i in range(20)])
     got = {r.host: set(r["keys"]) for r in residue.recurrent_lines(df, "url", "article_text").collect()}
-    assert got == {"h0.test": {residue._key("call the desk")}, "h1.test": {residue._key("call the desk")}}
+    assert got == {"h0.test": {key("call the desk")}, "h1.test": {key("call the desk")}}
 
 
 def plain_repeats(rows, share=0.05, least=5):

@@ -1,8 +1,13 @@
 """Flat text blocks: every line of a page as a block with features of its own and of its neighbours.
 
-A page is cut at line ends. A block's features are its word count, its link density (link-like words and marks over
-words), the same of the blocks before and after it, its end, its place in the page and cues of what it says. All of
-them are computed over whole Arrow arrays, not line by line.
+A page is cut at line ends. A block's features are its word count, its link density, the same of the blocks before and
+after it, whether it ends a sentence, its list marker, and whether it stands in a run of lines below a heading of links.
+All of them are computed over whole Arrow arrays, not line by line.
+
+Link density is the share of a block's words that are in links. Stored texts have no markup, so links are told by their
+wording: the fixed phrases below are what pages link, prompt with or put under every story, in general English. A phrase
+counts with the words that it covers, so that a menu has density 1, a comment with its reply link some 0.2, and a
+sentence that only mentions cookies or a home page 0.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Patterns for RE2 (linear time). They hold English words of page furniture, not of any one site.
+# Phrases of links, prompts and notices, as patterns for RE2 (linear time); not of any one site.
 _SECTION = (
     r"(?:home|world|business|events|jobs|local|health|fraud|schools?|reports?|opinion|archive|about(?: us)?|contact(?: us)?|"
     r"video|podcasts?|threats|policy|directory|tools|premium|news|politics|sports?|tech(?:nology)?|science|culture|travel|"
@@ -22,7 +27,7 @@ _SECTION = (
     r"live|latest|trending|more|services|advisories|analysis|features|interviews?|editorial|community|shop|partners)"
 )
 NAV = rf"(?i)^\W*{_SECTION}(?:(?:\s*[>|·•,/»:-]\s*|\s{{2,}}|\s+){_SECTION})*\W*$"
-CRUMB = r"(?i)^\W*(?:home|start|front page|index|you are here:?)\s*(?:[>/»›|]|::)\s*\S"
+CRUMB = r"(?i)^\W*(?:home|start|front page|index|you are here:?)\s*(?:[>/»›|]|::)\s*\S.*"
 BYLINE = (
     r"(?i)^\W*(?:(?:by|words|text|story|report|written by|reported by|posted by|author|edited by|compiled by)\b:? +"
     r"[^\s.,]+ +[^\s.,]+(?: [^\s.,]+)?(?:(?:,| for| \||  )[^.]*)?|[^\s,.|]+ [^\s,.|]+(?:, (?:staff|senior|chief|crime|security|"
@@ -64,23 +69,13 @@ HEADING = (
     r"trending(?: now)?|latest (?:news|stories|headlines)|recommended(?: for you)?|elsewhere(?: on .*)?|from our partners|"
     r"don'?t miss|what (?:others|people) (?:read|are reading)|readers also (?:read|liked))\W*$"
 )
-TITLE = (
-    r"(?i)(?:\b(?:regulator|court|minister|union|watchdog) asks\b|\baffected after\b|\bcrew targets\b|\boutage traced to\b|"
-    r"\breturns with\b|\brestores .* after \S+ days|\bconfirms .* hit its\b|\bgone in\b|\bwarned about\b|\bagainst .* used a|"
-    r"\binside the .* case at\b|\blose .* to (?:phishing|malvertising|impersonation|business email compromise|smishing|vishing|"
-    r"fake updates|seo poisoning|watering hole|social media scams?|credential theft)|"
-    r"\bwas \w[\w-]* through (?:phishing|malvertising|impersonation|business email compromise|smishing|vishing|fake updates|"
-    r"seo poisoning|watering hole|social media scams?|credential theft)|^\W*(?:\d+\. )?[^:]{4,80}: \S+ \S+ was \w+ \w+\W*$|"
-    r"\bhow \S+ \w+ \w+ an? \S+ \S+ in \S+\W*$)"
-)
-LINKISH = (
-    r"(?i)\b(?:share|print|mail|link|copy|log in|sign up|sign in|register|subscribe|newsletter|comments?|reply|report|terms|privacy|"
-    r"imprint|settings|accept|contact|vote|app|home|menu|search|more|next|previous|tags?|advert\w*)\b|[>|»·•©@]"
-)
+#: What is taken for links.
+PHRASES = (NAV, CRUMB, BYLINE, HEADING, PROMPT, LEGAL, EDITORIAL, COMMENT, TEASER_END, WIDGET)
+#: Words that a line of a run has at most; word counts above MANY_WORDS are alike for the tree.
+RUN_WORDS, MANY_WORDS = 16, 12
 #: Name of each feature, in the order of the columns.
 FEATURES = (
-    "chrome", "words", "link_density", "words_before", "words_after", "link_before", "link_after", "ends_sentence",
-    "title_like", "in_teasers", "marker", "prose_before", "prose_after", "chrome_before", "chrome_after",
+    "words", "link_density", "words_before", "words_after", "link_before", "link_after", "ends_sentence", "marker", "in_run",
 )
 
 
@@ -142,28 +137,29 @@ def blocks(texts: pa.Array) -> Blocks:
     n = len(keep)
     if n == 0:
         return Blocks(line, doc, no, full, np.zeros((0, len(FEATURES))))
-    words = pc.count_substring(t, " ").to_numpy(zero_copy_only=False) + 1.0
-    link = pc.count_substring_regex(t, LINKISH).to_numpy(zero_copy_only=False) / words
-    ends = _hit(t, r"[.!?…][\"”’')\]]*$")
-    nav = _hit(wide, NAV) | _hit(t, CRUMB) | _hit(t, WIDGET)
-    cue = _hit(t, PROMPT) | _hit(t, LEGAL) | _hit(t, EDITORIAL) | _hit(t, COMMENT)
-    byline = _hit(t, BYLINE)
-    tail = _hit(t, TEASER_END)
+    count = lambda a: pc.count_substring_regex(a, r"\S+").to_numpy(zero_copy_only=False).astype(float)
+    words = np.maximum(count(t), 1.0)
+    linked = np.zeros(n)
+    for p in PHRASES:  # the words that a phrase covers, by the phrase that covers most
+        hit = _hit(wide if p is NAV else t, p)
+        if hit.any():
+            some = t.filter(pa.array(hit))
+            left = count(pc.replace_substring_regex(wide.filter(pa.array(hit)) if p is NAV else some, p, " "))
+            linked[hit] = np.maximum(linked[hit], words[hit] - left)
+    link = np.where(linked > 0, np.maximum(linked, 0.5), 0.0) / words
     heading = _hit(t, HEADING)
-    title = words <= 24
-    title[title] = _hit(t.filter(pa.array(title)), TITLE)
+    ends = _hit(t, r"[.!?…][\"”’')\]]*$")
     marker = np.where(_hit(raw, r"^\s*(?:•|\d+[.)] )"), 2.0, np.where(_hit(raw, r"^\s*[-*–] "), 1.0, 0.0))
-    chrome = cue | nav | byline | heading | tail
-    prose = (ends & (words >= 7) & ~chrome) | (words >= 12) & ~chrome & ~title
-    # a run of teasers lasts from its heading to the next line of prose, list item of a story or other furniture
-    at = np.arange(n)
+    own = words - (marker == 2)
+    # a run lasts from its heading to the next sentence, list item of a story, long line or line with links of its own
     first = np.r_[True, d[1:] != d[:-1]]
+    prose = (link == 0) & ((ends & (words >= 7)) | (own > RUN_WORDS))
+    at = np.arange(n)
     opened = np.maximum.accumulate(np.where(heading, at, -1))
-    broken = np.maximum.accumulate(np.where(first | prose | (marker == 1) | ((cue | nav | byline | tail) & ~heading), at, -1))
+    broken = np.maximum.accumulate(np.where(first | prose | (marker == 1) | (link > 0) & ~heading, at, -1))
     run = (opened >= 0) & (opened >= broken) & ~heading
+    some = np.minimum(own, MANY_WORDS)
     x = np.column_stack([
-        chrome, words, link, _shift(words, d, 1, 0), _shift(words, d, -1, 0), _shift(link, d, 1, 1), _shift(link, d, -1, 1),
-        ends, title, run, marker,
-        _shift(prose, d, 1, 0), _shift(prose, d, -1, 0), _shift(chrome, d, 1, 1), _shift(chrome, d, -1, 1),
+        some, link, _shift(some, d, 1, 0), _shift(some, d, -1, 0), _shift(link, d, 1, 1), _shift(link, d, -1, 1), ends, marker, run,
     ])
     return Blocks(line, doc, no, full, x)

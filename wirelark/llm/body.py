@@ -1,7 +1,7 @@
 """Problem 5: the story of a page without its furniture, by a decision tree over flat text blocks.
 
-Method: flat text blocks with word count and link density of their neighbours, classified by a decision tree that is
-trained on a small labelled table (LABELLED below, a few hundred lines written for this purpose).
+Method: flat text blocks with their word count and link density and those of their neighbours, classified by a decision
+tree that is trained on a small labelled table (LABELLED below, some 200 lines written for this purpose).
 
 Defined results: null and empty texts have no blocks; blank lines are counted in line numbers and never classified;
 a page of a single line is classified by that line alone. Texts are used whole.
@@ -19,207 +19,209 @@ from wirelark.llm.blocks import Blocks, blocks
 
 #: Labelled pages: "+" belongs to the story, "-" is furniture; an empty line ends a page.
 LABELLED = """
-- Home > Local > Fraud > Policy > About
+- Home | World | Politics | Business | Sport
 - Search this site
-- Harbour Lantern uses cookies to measure how pages are read. Accept all or manage choices.
-- Home / Fraud / Clinic restores its booking system aft
-- By Mara Tolling, Harbour Lantern
-+ The clinic in Northgate said on Tuesday that its booking system had been restored from a clean copy.
-+ Patients were told by letter that no test results had left the building.
+- We use cookies to understand how the site is read. Accept all or manage choices.
+- Home / World / Storm closes the coast road for a second day
+- By Anna Keller, The Example Post
++ The coast road stayed closed on Monday after a storm pushed stones and sand over both lanes near the old light tower.
++ Crews worked through the night, the county said, and hoped to open one lane before the weekend.
 - Advertisement
-+ "We rebuilt every server by hand," Oskar Venn said, "and the phones came back first."
-+ How the old password was found
-+ Investigators traced the login to a rented machine near Eastmoor, where it had been used since 4 May.
++ "We have not seen waves of this height since the nineties," the harbour master said.
++ A slow recovery
++ Shops along the road said that they had lost most of a week, and two of them will stay closed until May.
++ The county council will decide on Thursday whether to pay for a wall.
 - Share this story: Mail Print Link
 - In other news
-- 1. Regulator asks City of Westrow for missing ledger
-- Phishing crew targets teachers with stolen calendar lure
-- 312 nurses affected after Larkfield Hospital roster was copied
-- Harbour Lantern is not responsible for the content of linked sites.
-- Copyright 2024 Harbour Lantern. All rights reserved.
-- 17 comments
-- Petra Lund, 3 hours ago: The same letter came to our office, each with a false form. Reply Report
+- Farmers fear a dry spring after the mildest winter on record
+- Museum buys a lost painting
+- Train drivers and their union agree on a new contract before the holidays
+- 1. School kitchens run short of cooks
+- The Example Post is not responsible for the content of linked sites.
+- Copyright 2022 The Example Post. All rights reserved.
+- 23 comments
+- Tom Hale, 3 hours ago: They promised us this wall ten years ago and nothing came of it. Reply Report
 
 - Menu
-- Schools
-- Health
-- World
-- Log in to Harbour Lantern
+- Science
+- Culture
+- Opinion
+- Log in to The Example Post
 - Your privacy choices: allow, decline, or set preferences.
-- Words: Ilse Brandt
-+ About 4,100 members lost access to the portal, and 39 more were moved to a paper form.
-+ - stop using any ticket from Northgate
-+ - replace the old badge and keep the receipt
-+ * 57 archived files, quietly deleted
-+ - portal: restored on 3 March, 900 teachers
-+ Shared ledger and unpaid invoice
-+ Losses were put at 420,000 euros, most of it tied to an invoice that clerks had paid twice.
-- Enjoying this? Support Harbour Lantern from 3 a month
-+ Who copied the missing badge
-+ Police in Eastmoor confirmed the gateway had been opened by two visitors and later closed.
-- Have you seen a letter like this? Tell the Harbour Lantern desk.
+- Words: Maria Lopes
++ Researchers at the university have found a way to store heat in ordinary salt for weeks.
++ - the salt costs a few cents a kilo
++ - it can be charged with waste heat
++ * tested in three houses
++ * salt (heated)
++ - price: 40 euros a month, paid by the state
++ From salt to steam
++ The first plant of this kind should run by 2027, and the team is looking for a town that wants to host it.
+- Enjoying this? Support The Example Post from 3 a month
++ Questions that stay open
++ Nobody knows yet how often the salt can be used before it clumps, and the tests that would show it take a year.
+- Have you seen something like this? Tell the Example Post science desk.
 - Tell a friend  Print  Save for later
-- Read next: Oakden Foods Ltd confirms vishing hit its weekly payroll
-- Webinar: safer payroll for teachers, 12 June. Register now
+- Read next: Why the old reactor is still not gone
+- Webinar: heat for towns, 12 June. Register now
 - Back to top
 
 - Skip to main content
-- World · Health · Reports · Opinion · Archive
-- We and our 120 partners store data on your device.
-- Filed under: payroll, teachers, Northgate
-- Mara Tolling | Harbour Lantern
-+ NORTHGATE - The council heard that callers posing as auditors had asked for the payroll password.
-+ Correction: Late on 4 May, the head of services said that 80 records had been changed and then deleted.
-+ Eastmoor waits for its ferry
-+ It took 40 hours to get the ferry office open again, the harbour manager noted.
-- More from Harbour Lantern
-- • Inside the missing ledger case at University of Westrow
-- • Ferry outage traced to BrightKit
-+ Subscribers of the ferry service were told to change a password before Friday.
+- World · Health · Opinion · Archive
+- We and our 90 partners store data on your device.
+- Filed under: health, hospitals, budget
+- Maria Lopes | The Example Post
++ LONDON - The minister told parliament that the waiting list had grown for a third year.
++ Correction: Late on Friday, the office said that the figure was for England alone.
++ What the figures hide
++ It took most patients four months to see a doctor, and one in ten waited for more than a year, the report noted.
+- More from The Example Post
+- • Two hospitals share one kitchen
+- • The nurse who would not retire: a portrait from the night shift at Saint Anne
++ Members of the union were told to keep a record of every extra hour before the talks begin again.
 - Figures in this story were rounded by the agency.
 - Share on Blip Share on Chirp Copy link
-- © 2021 Harbour Lantern - Terms - Privacy - Imprint
-- Up next: University of Westrow restores library after 30 days
-- Poll: has your ferry ticket ever been copied? Yes 31% No Vote
+- © 2021 The Example Post - Terms - Privacy - Imprint
+- Up next: The long road to a new clinic
+- Poll: have you waited for more than a month? Yes 31% No Vote
 
 - Events, Tools, Archive, Local, Opinion
-- Jump to the ferry section
-- By staying on harbourlantern.example you agree to our use of cookies.
-- Ilse Brandt, staff writer
-+ A test of the gateway on 7 May showed that 2,300 of its rules had been cancelled. The intruders spent 9 days inside.
-- Get the Harbour Lantern ferry newsletter
-+ From ticket to gateway in 12 hours
-+ The head of archives reported the copy was complete, but lawyers in Eastmoor disagreed. (continues)
-+ What teachers in Northgate were told
-+ The council heard that auditors had asked for the roster and a second Continue reading
-+ Copies of the roster were sold on a forum for 3,000 dollars, a price the buyers called fair.
-- The intruders spent 40 days renaming the ledger and copying each form they could reach. [Continue]
-- Losses were put at 12,000 dollars, most of it tied to a parking fine. ... more
-- Police in Northgate said the kiosk had been opened by two pilots. Read more
-- Members were told to stop sharing the map until a new one is in place. Full story >
+- Jump to the sport section
+- By staying on example.org you agree to our use of cookies.
+- Jan Novak, staff writer
++ The match was stopped after ten minutes because of fog. It was played again on Wednesday, before a much smaller crowd, and ended without a goal.
+- Get the Example Post sport newsletter
++ Two teams, one pitch
++ The head of the league said that the rule would be changed, but clubs in the north disagreed. (continues)
++ What fans were told
++ The club wrote that tickets would be valid for the second date and that anyone who could not come Continue reading
++ Parking around the ground was free on both days, which the town had not planned for.
+- The second half began an hour late and many had left by then. [Continue]
+- The coach called it the strangest evening of his life. ... more
+- Fans from abroad slept in the station hall. Read more
+- The club has offered vouchers to those who stayed. Full story >
 - Reporting pooled under the shared desk agreement.
 - This item first ran in the regional edition.
-- Part of the Harbour Lantern series on Northgate ferry fraud.
-- Corrected after publication to fix the name of the ferry.
+- Part of the Example Post series on winter sport.
+- Corrected after publication to fix the name of the referee.
 - Like what you read? Pass it on. 41 shares
-- The material on harbourlantern.example may not be republished without the consent of Harbour Lantern.
-- Harbour Lantern follows the Moss code. Send corrections to desk@harbourlantern.example.
-- Contact Harbour Lantern: desk@harbourlantern.example
+- The material on example.org may not be republished without the consent of The Example Post.
+- The Example Post follows the press code. Send corrections to desk@example.org.
+- Contact The Example Post: desk@example.org
 
-- Policy   Fraud   Threats   Schools   Local   Health
+- Policy   Local   Schools   Health
 - Accessibility help
-- This page remembers your visit so that nurses can see fitting adverts. OK / Settings
-- Written by Jon Asker for Harbour Lantern
+- This page remembers your visit so that readers can see fitting adverts. OK / Settings
+- Written by Jon Asker for The Example Post
 - Northgate 14°C, pollen index 3.5
-+ Staff had been warned in May about false requests and vishing, but the form was never withdrawn.
++ Teachers had asked for smaller classes since 2015, yet the new law keeps the limit at thirty.
 - - Sponsored -
-+ A ledger without a second copy
-+ The wave reached teachers, nurses and a retired ferry operator in Eastmoor.
++ A law with few friends
++ The vote was close, and four members of the ruling party stayed away.
 - You may also like
-- Payroll at Oakden Foods Ltd was changed through phishing
-- How BrightKit quietly copied a missing ledger in Northgate
-- 3. 45,000 euros gone in parking vishing at Westrow Motors plc
-- Nurses of Larkfield Hospital warned about false roster phishing
-- Oakden Foods Ltd: weekly payroll was quietly changed
-- Northgate teachers lose missing ledger to smishing
-- BrightKit returns with a false map and kiosk
-- Smishing against City of Westrow used a false map from Eastmoor
-- Previous story: Oakden Foods Ltd restores kiosk after 9 days
-- Event: false invoices for clerks, 4 July. Register now
-- Free guide: safer maps for pilots, 24 May. Register now
-
-- Harbour Lantern home page
-- Cookies help Harbour Lantern work. Got it!
-- Tags: ferry, nurses, Eastmoor
-- Posted in: shared, ledger, Northgate
-+ Home workers at Oakden Foods Ltd kept changing the roster over a shared line from Eastmoor.
-+ None of the 40 clerks who opened the false invoice reported it to the help line.
+- Pupils plan a march on the capital
+- How a village school found eleven new pupils and kept its only teacher
+- 3. Old books, new readers: the library bus returns
+- Why so many headteachers leave early
+- Parents win a fight over lunch breaks in court
+- Exam results arrive a week late in five counties this summer
+- Chalk is back
+- Previous story: Universities raise their fees again
+- Event: open day at the science park, 4 July. Register now
+- Free guide: choosing a school, 24 May. Register now
+
+- The Example Post home page
+- Cookies help this site work. Got it!
+- Tags: fire, forest, summer
+- Posted in: weather, fire, north
++ Home owners near the forest were asked to leave on Sunday evening, and most had gone by midnight.
++ None of the forty firefighters who were in the valley when the wind turned was hurt.
 - Story continues below this advert
-+ The lure was a false letter about a ticket refund, sent in batches of 300 to teachers in
++ The fire was seen first by a pilot who had flown over the ridge on his way home and who then called
 - Related coverage
-- • Regulator asks Larkfield Hospital for shared ledger
-- 2. City of Westrow confirms phishing hit its parking kiosk
-+ Old badge and false receipt
-+ Whoever copied the ledger also left a scanner on 45 machines, a clerk said.
+- • Summer heat breaks a record of eighty years in three cities of the south
+- 2. Wells run dry
++ Wind and dry grass
++ Whoever lit the fire also left a can and a lighter at the edge of the field, an officer said.
 - Download our app
-- Sign up: Harbour Lantern in your inbox each morning
+- Sign up: The Example Post in your inbox each morning
 - Article continues after promotion
-+ Cookies taken from the old browser let the group skip the ticket check, Oskar Venn said.
-+ A visitor noted that comments on the shared roster had been removed before the audit started.
++ Advertised prices of cabins in the valley fell by half within a week, an agent told the paper.
++ A visitor noted that comments on the map of the fire had been removed before the inquiry started.
 - Most read
-- Vishing crew targets pilots with false map lure
-- Larkfield Hospital restores roster after 11 days
-- Read more about: ferry, nurses, ledger
+- Bears move closer to the villages
+- Rain at last
+- Read more about: fire, forest, insurance
 - Advertise with us
 
 - Reports / Health / Tools / Video
 - By Jon Asker
-+ The ticket address differed from that of Oakden Foods Ltd by one letter, and clerks missed it.
-+ Event logs list 75 sign-ins by the copied account, all refunded on 1 July.
-+ Contact details of 40 nurses were sent to a forum, and home addresses of 12 more followed.
-+ Advertised prices of the copied ledger fell by half after the arrests, a court heard.
++ The bank said that the error was found by a customer who had counted twice.
++ Event logs show that the first wrong transfer left on 1 July and the last one on 9 July.
++ Contact details of nine customers were sent to the wrong branch, and the home addresses of two more followed.
 + A policy
-+ - tell nurses about the false roster
-+ - check each kiosk for BrightKit
-+ * false map (copied)
-+ Kiosk with a second key
-+ More nurses were told to share the link to the new roster, and the home office kept the old one.
-- Next: Regulator asks Larkfield Hospital for ledger
++ - tell customers about the error
++ - check each account for a second entry
++ * refunds (paid)
++ * old fees (dropped)
++ * cards, phones and letters
++ Money for the wrong people
++ More customers were told to share the letter with their families, and the home office kept a copy.
+- Next: The small town with four banks
 - 2 comments
 - Anna Berg, 2 days ago: It happened to us too, and nobody answered the phone. Reply Report
 
 - In other news
-- City of Westrow confirms phishing hit its parking kiosk
-- 4. Oakden Foods Ltd restores kiosk after 9 days
-+ - tell teachers about the copied badge
-+ - stop using any form from Eastmoor
-+ * 40 parking files, later restored
-+ The kiosk vendor explained that its gateway was not the way in, although 45 tenants were moved.
+- Ferry company apologises for a week of cancelled sailings
+- 4. Harbour cranes to be sold
++ - tell passengers about the new times
++ - stop selling tickets for the late boat
++ * 40 sailings, later restored
++ The island shop explained that bread had been flown in twice, although the pilots charged nothing.
 - You may also like
-- Regulator asks Oakden Foods Ltd for weekly payroll
-- • 40 nurses affected after Larkfield Hospital ferry pass was copied
-+ - replace the missing ledger and keep the old map
-+ - roster: changed on 7 May, 300 nurses
-+ Deliveries to Northgate stopped for 9 days because the kiosk could not be replaced.
+- Why the lighthouse stays dark until spring
+- • Small islands pay twice for the same boat under a rule from 1954
++ - replace the old ramp and keep the new one
++ - ramp: closed on 7 May, 300 cars
++ Deliveries stopped for nine days because the ramp could not be lowered.
 - Most read
-- Inside the copied badge case at Oakden Foods Ltd
-- Teachers of Westrow College warned about false payroll vishing
-+ The group behind BrightKit is linked to Eastmoor and to an earlier parking case.
-- More from Harbour Lantern
-- Regulator asks Larkfield Hospital for shared ledger
-- 3. Ferry outage traced to BrightKit
-+ Who copied the second badge
-+ The kiosk vendor said that the old gateway had been closed in March and opened again by mistake.
+- The captain who knew every rock: farewell to a neighbour
+- Islanders vote on a bridge
++ The company is owned by two brothers and has run the line since their father died.
+- More from The Example Post
+- Ferry prices climb again
+- 3. A harbour without ships waits for a plan from the capital
++ Who pays for the wait
++ The ministry said that the old contract had ended in March and had been kept going by mistake.
 - In other news
-- • Vishing crew targets pilots with false map lure
-- Nurses of Larkfield Hospital warned about false roster phishing
-+ What clerks in Northgate were told
-+ Insurers have paid 40 claims over the parking fines, and a court will hear the rest in June.
+- • Boats for rent
+- Two towns want the same festival and neither will move its date
++ What islanders were told
++ Insurers have paid forty claims over spoiled goods, and a court will hear the rest in June.
 - You may also like
-- Regulator asks Oakden Foods Ltd for payroll
-- Northgate kiosk outage traced to BrightKit
-+ Deliveries of paper forms took nine days, the manager said, because the ferry office could not be opened in time.
+- Council meets on Monday to talk about the new harbour fees
+- A market for old nets
++ Deliveries of post took nine days, the manager said, because the sorting office could not be opened in time.
 - Most read
-- BrightKit returns with a false ledger and map
-- 2. Westrow ferry outage traced to DarkKit
-+ Whoever opened the kiosk also copied a scanner key, an auditor told the council on Friday in a closed session.
+- How the smallest island in the north came to own a railway carriage
+- 2. Shops stay open on Sundays this summer in most coastal towns
++ Whoever opens the ramp must also sign a book, an inspector told the council on Friday in a closed session.
 - Related coverage
-- Inside the copied badge case at Oakden Foods Ltd
-+ From kiosk to ferry in 90 hours
-+ Staff were told on Tuesday to keep the paper forms until the new roster had been checked twice.
+- Seals return to the bay
++ From ramp to road in an hour
++ Staff were told on Tuesday to keep the paper tickets until the new machine had been checked twice.
 
-+ The hospital said on Monday that two servers had been replaced and that no record was missing.
++ The hospital said on Monday that two lifts had been replaced and that nobody was hurt.
 - Related coverage
-- Ferry company apologises for a week of cancelled sailings
+- Old lifts make a new home for bats
 - • Two hospitals share one roster after the winter storm
-- Why the harbour tower stays dark until spring comes
 - Advertisement
-+ A second hospital, warned in May, found the same letter in 40 mailboxes and told its staff to delete it.
++ A second hospital, warned in May, found the same fault in four lifts and told its staff to take the stairs.
 - You may also like
-- 1. Small towns pay twice for one stolen ledger
-- 2. Old maps of Northgate return to the library
-- Library staff learn to spot a false invoice
-- Copyright 2023 Harbour Lantern. All rights reserved.
+- 1. Small towns pay more for care than cities do, a study finds
+- 2. Old maps return to the library
+- Library staff learn to mend books
+- Copyright 2023 The Example Post. All rights reserved.
 
 - Breaking
 - Latest headlines
@@ -228,9 +230,33 @@ LABELLED = """
 - Teachers plan a march
 - Advertisement
 + The ferry company apologised on Friday for a week of cancelled sailings and promised refunds to every passenger.
-+ A spokesman said the fault had been found in a gateway that nobody had patched since March.
++ A spokesman said the fault had been found in a pump that nobody had looked at since March.
 - Photo: harbour at dawn
 - All rights reserved
+
++ The town will plant four hundred trees along the river this autumn, most of them oaks and alders.
+
++ Two men were arrested on Friday after a chase through the old town. They had taken a bus and driven it through a market.
+
++ A long letter from the mayor was read in all schools on Monday. It asks pupils to walk if they can, and it asks their parents to leave the car at home for a week in May, when the main street will be closed.
+
++ Rain is expected.
+
+- Copyright 2020 The Example Post. All rights reserved.
+
+- Subscribe to our newsletter
+
++ The orchestra will play in the station hall until its own roof is mended.
++ Tickets cost the same, and trains will run late on those evenings.
+
+- By staying on example.org you agree to our use of cookies.
++ The orchestra will play in the station hall until its own roof is mended. Tickets cost the same, and trains will run late on those evenings.
+- The Example Post follows the press code. Send corrections to desk@example.org.
+
++ The observatory found a comet that will pass in March and can be seen without a glass.
++ It was named after the cleaner who had left the dome open.
++ Its tail is as long as the moon is wide, a student measured.
++ The next one of this size is due in ninety years, and it will come from the south, where there are few telescopes.
 """
 
 

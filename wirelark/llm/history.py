@@ -101,12 +101,11 @@ def article_entries(articles: DataFrame) -> DataFrame:
     """Entries of stored articles; their numbers are negative, so that all candidates come later."""
     keyed = exact_keys(articles, "url", "title", "article_text")
     extra = ("url_key", "text_key", "print_key")
-    rows = keyed.select("id", "url", "article_text", *extra)
-    df = pages.with_recurrent(rows, "url", "article_text", "id", "article_text", *extra)
-    made = df.mapInArrow(
-        pages.story_runner("id", "article_text", True, extra),
-        f"id bigint, residue boolean, url_key string, text_key string, print_key string, {sets.DDL}",
-    )
+    made, late = pages.judged_stories(keyed.select("id", "url", "title", "article_text", *extra), extra)
+    made = made.join(late.select("id", F.lit(True).alias("late")), "id", "left")
+    bad = F.col("residue") | F.col("late").isNotNull()
+    blank = {"n": F.lit(0), "toks": F.array().cast("array<int>"), "keys": F.array().cast("array<bigint>")}
+    made = made.withColumns({c: F.when(bad, v).otherwise(F.col(c)) for c, v in blank.items()}).withColumn("residue", bad)
     return made.withColumn("seq", -1 - F.col("id")).drop("id")
 
 
@@ -120,13 +119,10 @@ def candidate_entries(candidates: DataFrame) -> DataFrame:
     extra = ("url_key", "text_key", "print_key")
     rows = keyed.select(candidate_seq(F.col("batch_no"), F.col("original_index")).alias("seq"), "full_text", *extra)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from pages.story_runner("seq", "full_text", False, extra)(batches)
-
     made = rows.mapInArrow(
-        run, f"id bigint, residue boolean, url_key string, text_key string, print_key string, {sets.DDL}"
+        pages.story_runner("seq", "full_text", False, extra), f"id bigint, url_key string, text_key string, print_key string, {sets.DDL}"
     )
-    return made.withColumnRenamed("id", "seq")
+    return made.withColumnRenamed("id", "seq").withColumn("residue", F.lit(False))
 
 
 def repeats(articles: DataFrame, candidates: DataFrame) -> DataFrame:

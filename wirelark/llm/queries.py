@@ -12,7 +12,7 @@ from wirelark.session import spread, stage, table
 
 
 def _stories(spark: SparkSession, d: str) -> DataFrame:
-    return stage(pages.story_sets(spread(table(spark, d, "articles"))), "stories")
+    return pages.story_sets(spread(table(spark, d, "articles")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Problem 4: fields that hold template residue, filler, error pages or script notices instead of content.
 
 Method: lines are normalised and counted by host; lines that recur over a host's pages are boilerplate and are
-subtracted, as is page furniture; what is left of a field is judged by the evidence it holds. A placeholder counts
-wherever it stands; all other evidence counts only if the residue holds no sentence of a real story.
+subtracted; what is left of a field is judged by the evidence it holds. A line is normalised to its first and last four
+words without numbers, so that "Tell the Courier desk" lines that differ in one word are one line. A placeholder counts
+wherever it stands; other evidence counts only if no sentence of a story is left. Evidence is of two kinds: the wording of
+a line (EVIDENCE), and counts over all hosts (notices()): a sentence that is all that is left of pages on several hosts
+whose titles have nothing in common with it or each other is a notice whatever it says.
 
 Defined results: null, empty and white-space fields are no cases; a page of boilerplate alone is none either; a text is
-read whole, however long it is. A line that is evidence itself is never subtracted as boilerplate.
+read whole, however long it is. A line that is evidence itself is never subtracted as boilerplate. Rows without a host
+count as one host "". Repeated rows count as pages of their own.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelark.functions import url
-from wirelark.llm import body
-from wirelark.llm.blocks import Blocks, squeeze
+from wirelark.llm.blocks import EDITORIAL, split_lines, squeeze
+from wirelark.session import stage
 
 #: A line is boilerplate of a host if this share of its pages, and so many of them, have it.
 SHARE, LEAST = 0.05, 5
@@ -46,7 +50,7 @@ EVIDENCE = (
     r"(?i)^\W*(?:"
     # filler, samples, words for no value
     r"lorem ipsum\b|dolor sit amet|asdf\b|qwerty\b|x{3,}\b|test(?:ing)? test|test (?:article|post|page|story|entry|text|content)\b|"
-    r"sample (?:article|post|page|story|text|content)\b|dummy (?:article|post|page|story|text|content)\b|"
+    r"(?:this is )?(?:a |some )?sample (?:article|post|page|story|text|content|copy)\b|replace (?:it|this) with your own\b|dummy (?:article|post|page|story|text|content)\b|"
     r"(?:this is )?(?:a )?placeholder\b|(?:lead|first|second|third|next|last|opening|closing)? ?(?:paragraph|sentence|quote|text|summary|headline|title|"
     r"body|caption|content|abstract|description|teaser|intro\w*)s? goes here|(?:add|write|enter|insert|provide|type) (?:a |an |your |the |some )?(?:short |brief |long )?"
     r"(?:description|abstract|summary|text|teaser|title|headline|caption|content|excerpt)\b|"
@@ -56,7 +60,7 @@ EVIDENCE = (
     r"(?:http )?(?:error|fehler|erreur)[ :]*\d{3}\b|(?:server )?error \d{3}\b|[45]\d\d\b[ \-–:]*(?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|gone|"
     r"internal|service|server|gateway|too many|unavailable|access|error|request|payload|conflict)|oops\b|whoops\b|sorry, (?:the|this|that|we|but)|"
     r"(?:the |this |that )?(?:requested )?(?:page|file|resource|article|document|url|address) (?:you \w+ )?(?:\w+ )?(?:was |is |could |can |cannot |does |has |no |not |never )*(?:be )?"
-    r"(?:not|no longer|moved|removed|gone|found|available|exist|cannot|unavailable)|page not found|not found\b|"
+    r"(?:not|no longer|moved|removed|gone|found|available|exist|cannot|unavailable)|page not found|not found\b|(?:we )?(?:could|can|did)(?: ?not|n't) (?:find|locate|load|open|display) (?:the|this|that|your|any|what)\b|"
     r"(?:use|try) the search\b|go back to the (?:front|home)|return to the (?:front|home)|the (?:web ?)?server (?:could|cannot|can't|is|was|has|encountered|did|returned)|"
     r"exception (?:while|in|at|during)\b|(?:fatal|internal|unexpected|runtime|syntax|parse|application|database|uncaught|critical)\b.{0,20}\b(?:error|exception)\b|"
     r"at (?:async )?[\w.$<>]+ ?\(\S+:\d+(?::\d+)?\)|traceback \(most|stack trace\b|warning: \w+\(|notice: undefined|(?:database|connection|query|request)\b.{0,12} (?:failed|refused|timed out|reset|error)|"
@@ -96,18 +100,36 @@ NOTICE = (
     r"java ?script (?:is|must be|needs to be) (?:required|disabled|enabled|turned o\w+|switched o\w+|activated)\b.{0,20}\b(?:your|to (?:use|view|see|read|continue|run|display))\b|"
     r"(?:we are |we're )?(?:checking|verifying) (?:that |if )?(?:your (?:browser|connection)|you are (?:a )?human)|ddos protection by)"
 )
-#: Words that mark a short residue without a sentence as a notice.
-WEAK = (
-    r"(?i)\b(?:java ?script|script(?:s|ing)\b.{0,30}\b(?:blocker|turn|needs?|enable)|content blocker|ad ?blocker|captcha|robot|reload|"
-    r"refresh|error|exception|forbidden|denied|unavailable|verweigert|verfügbar|not available|not found|maintenance|expired|log in again|"
-    r"placeholder|lorem|ipsum|goes here|undefined|null|summary goes|max \d+ characters|please ignore|stack|/srv/|localhost)\b"
-)
+#: A notice found by counts: titles and hosts at least, words at most, titles a page at least, and the share of its pages that
+#: may have a word in common, with each other's titles or between sentence and title.
+PAGES, HOSTS, NOTICE_WORDS, TITLES, SHARED = 5, 3, 40, 0.8, 0.4
+# The same steps in Java's and RE2's syntax: words with digits go, then all that is no letter; then the middle of the line.
+_WHOLE = ((r"\S*\d\S*", " "), (r"[^\p{L}]+", " "), (r"^ +| +$", ""))
+_ENDS = (*_WHOLE, (r"^(\S+ \S+ \S+ \S+) .* (\S+ \S+ \S+ \S+)$", r"\1 \2"))
+
+
+def normal_line(line: Column) -> Column:
+    """The first and last four words of a line in lower case, without numbers; empty for a line without letters."""
+    out = F.lower(line)
+    for old, new in _ENDS:
+        out = F.regexp_replace(out, old, new.replace("\\", "$"))
+    return out
 
 
 def line_key(line: Column) -> Column:
-    """64 bits of the letters of a line in lower case; null for a line without letters."""
-    let = F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
-    return F.when(let != "", F.xxhash64(let))
+    """64 bits of normal_line(); null for a line without letters."""
+    t = normal_line(line)
+    return F.when(t != "", F.xxhash64(t))
+
+
+def line_keys(lines: pa.Array, whole: bool = False) -> np.ndarray:
+    """line_key() of an array of lines, or the same of whole lines; 0 for lines without letters."""
+    t = pc.utf8_lower(lines)
+    for old, new in _WHOLE if whole else _ENDS:
+        t = pc.replace_substring_regex(t, old, new)
+    d = t.dictionary_encode()
+    own = np.array([xxhash.xxh64_intdigest(x.encode(), seed=42) if x else 0 for x in d.dictionary.to_pylist()], dtype=np.uint64)
+    return own.view(np.int64)[d.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(len(t), dtype=np.int64)
 
 
 def recurrent_lines(articles: DataFrame, url_col: str, text_col: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -116,14 +138,9 @@ def recurrent_lines(articles: DataFrame, url_col: str, text_col: str, share: flo
     Lines are counted once a page; counts are summed on the map side first. The list of a host is short by its
     definition: at most the lines of a page divided by share.
     """
-    host = url.host(F.col(url_col))
-    letters = F.filter(
-        F.transform(F.split(F.col(text_col), "\n"), lambda l: F.regexp_replace(F.lower(l), r"[^\p{L}]+", "")),
-        lambda l: l != "",
-    )
-    lines = articles.select(host.alias("host"), F.explode(F.array_distinct(letters)).alias("line")).select(
-        "host", F.xxhash64("line").alias("key")
-    )
+    host = F.coalesce(url.host(F.col(url_col)), F.lit(""))
+    keys = F.filter(F.transform(F.split(F.col(text_col), "\n"), line_key), lambda k: k.isNotNull())
+    lines = articles.select(host.alias("host"), F.explode(F.array_distinct(keys)).alias("key"))
     pages = articles.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
     often = lines.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return (
@@ -134,17 +151,6 @@ def recurrent_lines(articles: DataFrame, url_col: str, text_col: str, share: flo
     )
 
 
-_LETTERS = re.compile(r"[\W\d_]+")
-
-
-def _key(line: str) -> int | None:
-    low = _LETTERS.sub("", line.lower())
-    if not low:
-        return None
-    h = xxhash.xxh64_intdigest(low.encode(), seed=42)
-    return h - (1 << 64) if h >> 63 else h
-
-
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W_a-z])")
 
 
@@ -178,43 +184,97 @@ def evident_lines(t: pa.Array) -> np.ndarray:
     return out
 
 
-def flags(
-    texts: pa.Array, recurrent: list | None = None, parts: tuple[Blocks, np.ndarray] | None = None
-) -> np.ndarray:
-    """Whether each text is a case. recurrent: for each text the keys of its host's boilerplate, or None.
+class Hosts:
+    """The boilerplate of the hosts of a batch: a number for each row's host, and the keys of each number."""
 
-    parts: what body.furniture() gave for the same texts, if it was called already.
-    """
-    b, bad = parts or body.furniture(texts)
+    def __init__(self, host: pa.Array, keys: pa.Array) -> None:
+        d = pc.fill_null(host, "").dictionary_encode()
+        self.of = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, first = np.unique(self.of, return_index=True)
+        self.keys = [np.array(keys[int(i)].as_py() or (), dtype=np.int64) for i in first]
+
+    def gone(self, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Whether each line (row number, key) is boilerplate of its row's host."""
+        out = np.zeros(len(key), dtype=bool)
+        at = self.of[doc]
+        for h, known in enumerate(self.keys):
+            if len(known):
+                own = np.flatnonzero(at == h)
+                out[own] = np.isin(key[own], known)
+        return out
+
+
+_WORDS4 = re.compile(r"[^\W\d_]{4,}")
+#: A sentence of a story ends as one, or goes on after a sentence for more than the words of a link or poll.
+_PROSE = r"""[.!?…。！？।؟]["”’')\]]*$|\pL{2}[.!?…]["”’')\]]*\s+\S+(?:\s+\S+){4,}$"""
+
+
+def judge(texts: pa.Array, hosts: Hosts | None = None, titles: pa.Array | None = None) -> tuple[np.ndarray, list, np.ndarray]:
+    """For each text: whether it is a case, the keys of the sentences that may be a notice by notices(), and whether
+    none of them shares a word with the title. The keys are None for texts that cannot be one."""
+    line, doc, _ = split_lines(texts)
     n = len(texts)
-    keep = np.flatnonzero(b.full)
+    keep = np.flatnonzero(_matches(line, r"[^\s\x{a0}\x{200b}]"))
+    asks: list = [None] * n
+    apart = np.zeros(n, dtype=bool)
     if not len(keep):
-        return np.zeros(n, dtype=bool)
-    line, doc = b.line.take(pa.array(keep)), b.doc[keep]
+        return np.zeros(n, dtype=bool), asks, apart
+    line, doc = line.take(pa.array(keep)), doc[keep]
     t = pc.utf8_trim(squeeze(line), " |*»")
-    hit = lambda p: _matches(t, p)
-    holder = hit(r"[{}<>%#\[$@_(]|TK")
+    holder = _matches(t, r"[{}<>%#\[$@_(]|TK")
     if holder.any():
-        holder[holder] = pc.match_substring_regex(t.filter(pa.array(holder)), PLACEHOLDER).to_numpy(zero_copy_only=False)
+        holder[holder] = _matches(t.filter(pa.array(holder)), PLACEHOLDER)
         rest = pc.replace_substring_regex(t.filter(pa.array(holder)), f"(?i){_SAFE}", "")
-        holder[holder] = pc.match_substring_regex(rest, PLACEHOLDER).to_numpy(zero_copy_only=False)
+        holder[holder] = _matches(rest, PLACEHOLDER)
     evident = evident_lines(t)
-    out = np.bincount(doc[holder], minlength=n) > 0
-    prose = ~bad[keep] & ~evident & (_words(t) >= PROSE)
-    # a residue without a sentence: boilerplate of the host goes first, then evidence decides
-    open_ = ~out & (np.bincount(doc[prose], minlength=n) == 0) & (np.bincount(doc, minlength=n) > 0)
-    if recurrent is not None:
-        sure = np.bincount(doc[evident], minlength=n) > 0
-        maybe = ~out & ~open_ & sure
-        for i in np.flatnonzero(maybe):
-            keys = set(recurrent[i] or ())
-            own = keep[(doc == i) & prose] if keys else []
-            open_[i] = bool(keys) and all(_key(x) in keys for x in b.line.take(pa.array(own)).to_pylist())
-    weak = hit(WEAK) & ~bad[keep]
-    if recurrent is not None:
-        for k in np.flatnonzero(weak & open_[doc]):
-            keys = recurrent[doc[k]]
-            if keys is not None and _key(line[int(k)].as_py()) in set(keys):
-                weak[k] = False
-    for_sure = np.bincount(doc[evident | weak], minlength=n) > 0
-    return out | (open_ & for_sure)
+    words = _words(t)
+    left = ~evident if hosts is None else ~evident & ~hosts.gone(doc, line_keys(t))
+    prose = left & (words >= PROSE) & _matches(t, _PROSE) & ~_matches(t, EDITORIAL)
+    count = lambda m: np.bincount(doc[m], minlength=n)
+    held, sure, told = count(holder) > 0, count(evident) > 0, count(prose)
+    out = held | sure & (told == 0)
+    maybe = ~out & (told > 0) & (told <= 2) & (count(prose & (words > NOTICE_WORDS)) == 0)
+    rows = np.flatnonzero(prose & maybe[doc])
+    said: dict[int, list[int]] = {}
+    key = dict(zip(rows.tolist(), line_keys(t.take(pa.array(rows)), whole=True).tolist()))
+    for k in key:
+        said.setdefault(int(doc[k]), []).append(k)
+    for d, ks in said.items():
+        asks[d] = sorted({key[k] for k in ks})
+        own = set(_WORDS4.findall(" ".join(t[k].as_py() for k in ks).lower()))
+        apart[d] = titles is not None and own.isdisjoint(_WORDS4.findall((titles[d].as_py() or "").lower()))
+    return out, asks, apart
+
+
+def notices(asked: DataFrame) -> DataFrame:
+    """key of the sentences that are notices by their counts. asked: asks, apart, title, host, a row for each field.
+
+    Only fields of which one or two sentences are left ask, so that the counts are small; they are summed by key and title
+    first, so that a sentence that a third of all rows share is no group of a task.
+    """
+    rows = asked.select(F.explode("asks").alias("key"), "title", "host", F.col("apart").cast("int").alias("apart"))
+    some = rows.groupBy("key", "title", "host").agg(F.count("*").alias("n"), F.sum("apart").alias("apart"))
+    one = some.groupBy("key", "title").agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"))
+    at = some.select("key", "host").distinct().groupBy("key").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= HOSTS)
+    all_ = one.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("titles"), F.sum("apart").alias("apart"))
+    all_ = all_.filter(
+        (F.col("titles") >= PAGES) & (F.col("titles") >= TITLES * F.col("n")) & (F.col("apart") >= (1 - SHARED) * F.col("n"))
+    )
+    # copies of one story have words of their titles in common, whatever the titles
+    said = F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}]+"))).alias("w")
+    word = one.join(all_.select("key"), "key").select("key", "n", said).filter(F.length("w") >= 4)
+    most = word.groupBy("key", "w").agg(F.sum("n").alias("m")).groupBy("key").agg(F.max("m").alias("most"))
+    return all_.join(at, "key").join(most, "key", "left").filter(F.coalesce("most", F.lit(0)) <= SHARED * F.col("n")).select("key")
+
+
+def late(asked: DataFrame) -> DataFrame:
+    """id, field_name of the fields all of whose sentences are notices. asked: a written table, see notices()."""
+    own = asked.filter("asks is not null")
+    known = stage(notices(own), "notices")
+    rows = own.select("id", "field_name", F.size("asks").alias("n"), F.explode("asks").alias("key")).join(known, "key")
+    return rows.groupBy("id", "field_name", "n").agg(F.count("*").alias("m")).filter("m >= n").select("id", "field_name")
+
+
+def flags(texts: pa.Array, hosts: Hosts | None = None) -> np.ndarray:
+    """Whether each text is a case by its own lines."""
+    return judge(texts, hosts)[0]
