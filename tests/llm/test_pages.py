@@ -155,3 +155,13 @@ def test_repeated_lines_equal_the_plain_rule(spark):
     for i, _, t in rows:
         assert left[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in gone))
     assert repeats.repeated_lines(df.limit(0)).count() == 0
+
+
+def test_templates_hold_the_variants_of_a_slot(spark):
+    rows = [(i, "A", f"Tell the Example Courier desk about this {w} today, please!\nonce {'x' * i}") for i, w in enumerate("letter invoice ledger form badge note".split())]
+    rows += [(9, "A", None), (10, None, "Tell the Example Courier desk about this map today, please!")]
+    df = spark.createDataFrame(rows, "id bigint, source_name string, article_text string")
+    assert repeats.repeated_lines(df).count() == 0
+    assert [tuple(r) for r in repeats.templates(df).collect()] == [("A", "telltheexamplec<*>odayplease", 6)]
+    assert {(r.id, r.line_no) for r in repeats.template_lines(df).collect()} == {(i, 1) for i in range(6)}
+    assert repeats.templates(df.limit(0)).count() == 0

@@ -105,12 +105,12 @@ OTHER = [("a", "A"), ("e", "é"), ("x²", "x2"), ("a-b", "a—b"), ("1", "2"), (
 
 @pytest.mark.parametrize("a,b", SAME)
 def test_same_looking_texts_have_one_form(a, b):
-    assert canon.canonical(a) == canon.canonical(b)
+    assert canon.skeleton(a) == canon.skeleton(b)
 
 
 @pytest.mark.parametrize("a,b", OTHER)
 def test_visible_differences_stay(a, b):
-    assert canon.canonical(a) != canon.canonical(b)
+    assert canon.skeleton(a) != canon.skeleton(b)
 
 
 @settings(max_examples=150, deadline=None)
@@ -118,6 +118,15 @@ def test_visible_differences_stay(a, b):
 def test_canonical_form_is_stable_and_composed(text):
     once = canon.canonical(text)
     assert canon.canonical(once) == once and unicodedata.is_normalized("NFC", once)
+    form = canon.skeleton(text)
+    assert canon.skeleton(form) == form == canon.skeleton(once)
+
+
+@pytest.mark.parametrize("text, form", [
+    ("Москва, Россия", "Москва, Россия"), ("Мoсква", "Москва"), ("Αθήνα", "Αθήνα"), ("аpple рie", "apple pie"), ("The сор ran", "The cop ran"), ("Не все", "Не все"), ("\U0002f800", "\u4e3d"),
+])
+def test_words_keep_their_script(text, form):
+    assert canon.canonical(text) == form and canon.skeleton(text) == canon.skeleton(form)
 
 
 def test_pairs_of_same_looking_texts(spark):

@@ -5,30 +5,36 @@ invisible characters), each with the character before it as boundary context; on
 are spliced into the unchanged rest. A text without unstable characters is returned as it is; texts of plain ASCII never
 leave the JVM.
 
-One form: width and style forms and ligatures as plain letters, accents composed, look-alike letters of other scripts as
-Latin ones, all kinds of blank as a space and of hyphen as "-", invisible characters dropped. Case, accents, digits,
-superscripts, dashes, quotes and wording stay. A zero-width joiner or non-joiner stays where it shows: between emoji and
-within Arabic and Indic words. Defined results: null stays null, empty stays empty; texts are used whole; canonical()
-is idempotent.
+Two forms. canonical() is for use as text: width and style forms and ligatures as plain letters, accents composed, all kinds
+of blank as a space and of hyphen as "-", invisible characters dropped, and look-alike letters in the script of their word:
+Latin in a word with Latin letters, Cyrillic (Greek, Armenian) in a word of that script, so that Russian text stays Russian.
+A word of look-alikes alone has the script that most letters of the text have. skeleton() is for comparing: all look-alikes
+are Latin, so that texts that read the same are equal whatever scripts they mix. Case, accents, digits, superscripts, dashes,
+quotes and wording stay in both. A zero-width joiner or non-joiner stays where it shows: between emoji and within Arabic and
+Indic words. Defined results: null stays null, empty stays empty; texts are used whole; both are idempotent, and the skeleton
+of a canonical text is that of the text.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata as u
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelark.session import stage
+
 # Letters of other scripts that look like Latin ones, in pairs.
 LOOKALIKE = (
     # Cyrillic
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW ҮY ԌG ԀD аa еe оo рp сc уy хx ѕs іi јj ԛq ԝw һh ԁd ӏl ѵv үy ԌG ӀI "
     # Greek
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo ρp νv ϲc ϳj "
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ αa ιi κk οo ρp υu νv ϲc ϳj "
     # Armenian, Cherokee and letters of the phonetic alphabet
     "օo սu հh ոn ցg զq ՕO ՍU ᎪA ᏴB ᏟC ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ ɑa ɡg"
 )
@@ -98,10 +104,65 @@ _JOINED = "[ؠ-ۿݐ-ݿࢠ-ࣿऀ-෿က-႟ក-៿]"
 _SHOWN = re.compile(f"(?<=[{_EMOJI}️])‍(?=[{_EMOJI}])|(?<={_JOINED})[‌‍](?={_JOINED})")
 
 
+@cache
+def _script(c: str) -> str:
+    return u.name(c, "").split(" ")[0] if c.isalpha() else ""
+
+
+@cache
+def _scripts() -> tuple[re.Pattern, dict[str, dict[int, str]]]:
+    """Look-alike letters, and for each other script what its look-alikes stand for among Latin letters."""
+    back: dict[str, dict[int, str]] = {}
+    for pair in LOOKALIKE.split():
+        back.setdefault(_script(pair[0]), {}).setdefault(ord(pair[1]), pair[0])
+    return re.compile(f"[{''.join(p[0] for p in LOOKALIKE.split())}]"), back
+
+
+def _own_scripts(text: str) -> str:
+    """text with each look-alike in the script of its word."""
+    odd, back = _scripts()
+    if not odd.search(text):
+        return text
+    like = _tables()[2]
+    most = ""
+
+    def settle(m: re.Match) -> str:
+        nonlocal most
+        w = m.group(0)
+        if w.isascii() or not odd.search(w):
+            return w
+        sure = {_script(c) for c in w if ord(c) not in like} - {""}
+        other = sure - {"LATIN"}
+        if not sure:  # look-alikes alone
+            if not most:
+                seen = Counter(_script(c) for c in text if ord(c) not in like)
+                seen.pop("", None)
+                most = max(seen, key=lambda k: (seen[k], k == "LATIN", k)) if seen else "LATIN"
+            return w if most == _script(w[0]) else w.translate(like)
+        if len(other) != 1:
+            return w.translate(like) if not other else w
+        to = back.get(next(iter(other)), {})
+        return w.translate(to) if all(ord(c) in to for c in w if _script(c) == "LATIN") else w
+
+    return re.sub(r"[^\W\d_]+", settle, text)
+
+
 def canonical(text: str | None) -> str | None:
+    """The form for use as text."""
     if not text or text.isascii() and not ("\t" in text or "\r" in text):
         return text
-    segment, first, like = _tables()
+    return u.normalize("NFC", _own_scripts(_settled(text, {})))
+
+
+def skeleton(text: str | None) -> str | None:
+    """The form for comparing."""
+    return _settled(text, _tables()[2])
+
+
+def _settled(text: str | None, like: dict[int, str]) -> str | None:
+    if not text or text.isascii() and not ("\t" in text or "\r" in text):
+        return text
+    segment, first, _ = _tables()
 
     def settle(m: re.Match) -> str:
         return u.normalize("NFC", u.normalize("NFD", m.group(0).translate(first)).translate(like))
@@ -115,27 +176,32 @@ def canonical(text: str | None) -> str | None:
     return "".join(out) + segment.sub(settle, text[at:])
 
 
-def canonical_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and canonical_text of every row."""
+def _formed(docs: DataFrame, id_col: str, text_col: str, form: Callable[[str | None], str | None], name: str) -> DataFrame:
+    """id, text and the column name, made by form. Texts of plain ASCII are their own form and never leave the JVM."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     odd = F.coalesce(F.col("text").rlike(r"[^\x20-\x7e\n]"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.string())
-            yield pa.record_batch([b.column(0), b.column(1), made], names=["id", "text", "canonical_text"])
+            made = pa.array([form(t) for t in b.column(1).to_pylist()], pa.string())
+            yield pa.record_batch([b.column(0), b.column(1), made], names=["id", "text", name])
+
+    slow = rows.filter(odd).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text string, {name} string")
+    return rows.filter(~odd).withColumn(name, F.col("text")).unionByName(slow)
 
-    slow = rows.filter(odd).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, text string, canonical_text string")
-    return rows.filter(~odd).withColumn("canonical_text", F.col("text")).unionByName(slow)
+
+def canonical_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text and canonical_text of every row."""
+    return _formed(docs, id_col, text_col, canonical, "canonical_text")
 
 
 def same_looking(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id_a, doc_id_b: pairs of different strings with one canonical form.
+    """doc_id_a, doc_id_b: pairs of different strings with one skeleton.
 
-    Texts travel as hashes. Forms with one spelling alone, as exact copies have, are dropped before the join.
+    Texts are read once and travel as hashes. Forms with one spelling alone, as exact copies have, are dropped before the join.
     """
-    c = canonical_texts(docs, id_col, text_col).filter(F.trim(F.col("canonical_text")).rlike(r"\S"))
-    h = c.select("id", F.md5("canonical_text").alias("form"), F.md5("text").alias("own"))
+    c = _formed(docs, id_col, text_col, skeleton, "form").filter(F.trim(F.col("form")).rlike(r"\S"))
+    h = stage(c.select("id", F.md5("form").alias("form"), F.md5("text").alias("own")), "forms")
     many = h.groupBy("form").agg(F.min("own").alias("o1"), F.max("own").alias("o2")).filter("o1 <> o2").select("form")
     h = h.join(many, "form")
     a = h.select("form", F.col("id").alias("doc_id_a"), F.col("own").alias("own_a"))

@@ -94,6 +94,7 @@ def packed(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens",
     loose = (
         pieces.filter(~full)
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).cast("int"))
+        .repartition(min(shards, 64 + shards // 4), "shard")  # packing outweighs its few bytes, which the planner would merge into one task
         .groupBy("shard")
         .applyInPandas(run, f"doc_id {kind}, piece_no int, n_tokens int, container bigint")
     )

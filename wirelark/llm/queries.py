@@ -57,6 +57,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeated_lines(spread(table(spark, d, "articles")))
 
 
+def p7_templates(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.templates(spread(table(spark, d, "articles"))).withColumnRenamed("source", "source_name")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encoded(spread(table(spark, d, "documents")))
 
@@ -77,7 +81,7 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p2_found, p3_found, p3_consensus, p4_found, p5_found, p6_found, p7_found, p8_ids,
+        p1_found, p1_groups, p2_found, p3_found, p3_consensus, p4_found, p5_found, p6_found, p7_found, p7_templates, p8_ids,
         p9_containers, p10_found, p10_canonical,
     )
 }
@@ -99,4 +103,20 @@ SQL: dict[str, str] = {
         select k.id, cast(k.line_no as integer) as line_no
         from k join often on k.source_name is not distinct from often.source_name and k.let = often.let
     """,
+    "p7_templates": r"""
+        with l as (
+            select source_name, id, regexp_replace(lower(unnest(string_split(article_text, chr(10)))), '[^\p{L}]+', '', 'g') as let
+            from articles where article_text is not null
+        ),
+        k as (
+            select source_name, id, substring(let, 1, 15) || case when length(let) > 25 then '<*>' else '' end
+                   || case when length(let) > 15 then right(substring(let, 16), 10) else '' end as template
+            from l where let <> ''
+        ),
+        n as (select source_name, count(*) as docs from articles group by source_name)
+        select k.source_name, k.template, count(distinct k.id) as documents
+        from k join n on k.source_name is not distinct from n.source_name
+        group by k.source_name, k.template, n.docs
+        having count(distinct k.id) >= 5 and count(distinct k.id) >= 0.05 * n.docs
+    """,
 }
