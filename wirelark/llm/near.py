@@ -4,17 +4,18 @@ Method: similar documents are partitioned into groups; each group keeps the unio
 the union bounds the overlap with every member, and only groups that pass the bound are opened and compared exactly.
 
 Steps, all of them joins and aggregations:
-1. Documents that share a locality key meet; each is compared exactly with the first document of the key's bucket (one
-   candidate a document and bucket, never all pairs). Documents with equal sets are linked to the first of them without a
-   comparison. Components of what agrees are the groups of the matrix.
-2. Where a bucket still holds several groups, the documents of all but one are queries to the others. The bound is
-   computed from 1,024-bit rows: tokens of the query whose bit the union lacks are surely missing. Only groups that can
-   reach the limit are opened; their members are compared exactly. No true link that a bucket holds is lost.
-3. Components over all links.
-
-A group of copies that holds a third of all rows costs one candidate a copy and bucket in step 1 and is one group in
-step 2. Defined results: null texts and texts of fewer than three words have empty sets and are linked to nothing;
-repeated ids count once; ties cannot occur, since links are symmetric and a component's label is its smallest id.
+1. Documents with equal sets are linked to the first of them without a comparison; only that one goes on.
+2. A first partition: documents that share one of the FIRST locality keys are compared exactly with the first document of
+   the key's bucket (one candidate a document and bucket). Components of what agrees are the groups of the matrix.
+3. The matrix: wherever several groups meet in a bucket, of whatever key, the documents of all but one are queries to the
+   others. The bound is computed from 1,024-bit rows: tokens of the query whose bit the union lacks are surely missing. Only
+   groups that can reach the limit are opened; their members are compared exactly. No true link that a bucket holds is lost.
+4. Components over all links.
+
+A group of copies that holds a third of all rows is one document after step 1. A bucket in which many groups meet is a hot
+key of the join in step 3, which adaptive execution splits; pairs_of() splits hot groups itself. Defined results: null texts
+and texts of fewer than three words have empty sets and are linked to nothing; repeated ids count once; ties cannot occur,
+since links are symmetric and a component's label is its smallest id.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from wirelark.operators.graph import connected_components
 from wirelark.session import stage
 
 LIMIT = 0.5
+#: Keys that make the first partition; the others only bring groups together for the matrix.
+FIRST = 3
+#: Members of a block of a group when pairs are written.
+BLOCK = 256
 _BITS = [f"b{i}" for i in range(LONGS)]
 
 
@@ -71,13 +76,6 @@ def compare(pairs: DataFrame, docs: DataFrame, limit: float, left: str = "x", ri
     return met.filter("same").select(left, right).unionByName(exact.select(left, right))
 
 
-def buckets(docs: DataFrame) -> DataFrame:
-    """key, id of the buckets with two documents at least."""
-    rows = docs.filter("n > 0").select("id", F.explode("keys").alias("key"))
-    many = rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m")).filter("m > 1")
-    return stage(rows.join(many, "key").select("key", "id", "head"), "near-buckets")
-
-
 def copies(docs: DataFrame) -> DataFrame:
     """x, y: each document and the first one of an equal set."""
     own = docs.filter("n > 0").select("set_hash", "n", "id")
@@ -85,26 +83,34 @@ def copies(docs: DataFrame) -> DataFrame:
     return own.join(first, ["set_hash", "n"]).filter("id > x").select("x", F.col("id").alias("y"))
 
 
+def buckets(docs: DataFrame) -> DataFrame:
+    """band, key, id, head of the buckets with two documents at least."""
+    rows = docs.filter("n > 0").select("id", F.posexplode("keys").alias("band", "key"))
+    many = rows.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last").select("key", "head")
+    return stage(rows.join(many, "key").select(F.col("band").cast("tinyint").alias("band"), "key", "id", "head"), "near-buckets")
+
+
 def groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """id, group_id for every document with a link; group_id is the smallest id of the group.
 
     docs: a written table with the columns of sets.Maker.
     """
-    met = buckets(docs)
-    star = met.filter("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
-    first = stage(compare(star, docs, limit).unionByName(copies(docs)), "near-links")
-    part = connected_components(first, "x", "y")
+    same = stage(copies(docs), "near-copies")
+    one = docs.join(same.select(F.col("y").alias("id")).distinct(), "id", "left_anti")
+    met = buckets(one)
+    star = met.filter((F.col("band") < FIRST) & (F.col("id") != F.col("head"))).select(F.col("head").alias("x"), F.col("id").alias("y"))
+    first = stage(compare(star.distinct(), docs, limit), "near-links")
+    part = stage(connected_components(first, "x", "y"), "near-first")
     of = met.join(part, met["id"] == part["node"], "left").select("key", "id", F.coalesce("component", "id").alias("g"))
     of = stage(of, "near-parts")
     # buckets in which several groups meet
     open_ = of.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
-    left = of.join(open_, "key").join(docs.select("id", "set_hash"), "id")
-    left = left.groupBy("key", "g", "set_hash").agg(F.min("id").alias("id"))  # one of equal sets asks for all
+    left = of.join(open_, "key")
     queries = left.select("key", F.col("id").alias("x"), F.col("g").alias("own"))
     others = left.select("key", "g").distinct()
     asked = stage(queries.join(others, "key").filter("own > g").select("x", "g").distinct(), "near-asked")
     # the token-group matrix: a row of bits for each group that is asked about
-    member = docs.select("id", "n", *_BITS).join(part, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id"))
+    member = one.select("id", "n", *_BITS).join(part, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id"))
     matrix = (
         member.join(asked.select("g").distinct(), "g", "left_semi")
         .groupBy("g")
@@ -124,12 +130,18 @@ def groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     )
     opened = passed.join(member.select("g", F.col("id").alias("y")), "g").select("x", "y").distinct()
     links = compare(opened, docs, limit)
-    whole = connected_components(first.unionByName(links), "x", "y")
+    whole = connected_components(first.unionByName(links).unionByName(same), "x", "y")
     return whole.select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:
-    """id_a, id_b: all pairs within the groups, as the result of p1_found asks for."""
-    a = groups.select("group_id", F.col("id").alias("id_a"))
-    b = groups.select("group_id", F.col("id").alias("id_b"))
-    return a.join(b, "group_id").filter("id_a < id_b").select("id_a", "id_b")
+    """id_a, id_b: all pairs within the groups, as the result of p1_found asks for.
+
+    A large group is cut into blocks; each document meets the blocks of its group one by one, so that no task holds them all.
+    """
+    groups = stage(groups, "near-groups")
+    n = groups.groupBy("group_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(n, "group_id")
+    a = rows.select("group_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("id_a"))
+    b = rows.select("group_id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("id_b"))
+    return a.join(b, ["group_id", "block"]).filter("id_a < id_b").select("id_a", "id_b")
