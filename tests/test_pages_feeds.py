@@ -1,9 +1,10 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from wirelark.operators import html
-from wirelark.sources import feeds
+from wirelark.sources import feeds, fetch
 
 STORY = "The council confirmed on Friday that its payroll was copied by intruders. " * 8
 
@@ -87,8 +88,94 @@ def test_urls_of_scans():
     assert "query=x&mode=ArtList&maxrecords=5&format=json&sort=DateDesc&timespan=60min" in feeds.api_url("x", 5, 60)
 
 
-def test_live_feed_source(spark, tmp_path):
-    (tmp_path / "f.xml").write_text(RSS)
-    spark.dataSource.register(feeds.FeedSource)
-    df = spark.read.format("newsfeed").option("urls", f"file://{tmp_path}/f.xml file:///nowhere").load()
+def answers(table):
+    """A transport that answers from a table, and the addresses that it was asked for."""
+    asked = []
+
+    def transport(url, timeout, agent):
+        asked.append(url)
+        got = table[url]
+        if isinstance(got, list):
+            got = got.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        status, headers, body = got
+        return fetch.Answer(status, headers, iter([body]))
+
+    return transport, asked
+
+
+def fetcher(table, **more):
+    transport, asked = answers(table)
+    return fetch.Fetcher(transport=transport, resolver=lambda h, p: ["93.184.216.34"], wait=lambda s: None, **more), asked
+
+
+def test_live_feed_source(spark):
+    own, _ = fetcher({"https://f.test/x": (200, {"content-type": "application/rss+xml"}, RSS.encode()), "https://g.test/x": (404, {}, b"")}, content_types=feeds.FEED_TYPES)
+
+    class Own(feeds.FeedSource):
+        fetcher = own
+
+    spark.dataSource.register(Own)
+    df = spark.read.format("newsfeed").option("urls", "https://f.test/x https://g.test/x file:///etc/hostname http://127.0.0.1/").load()
+    assert [r.feed_url for r in df.collect()] == ["https://f.test/x"]
     assert feeds.scan_feeds(df, 10, decode=False).count() == 3
+
+
+@pytest.mark.parametrize("url", [
+    None, "", "file:///etc/hostname", "ftp://a.test/", "https://u:p@a.test/", "https://localhost/", "https://localhost./", "http://127.0.0.1/", "http://10.0.0.8/x", "http://169.254.1.1/",
+    "http://224.0.0.9/", "http://240.0.0.9/", "http://[::1]/", "http://a.test:99999/", "//a.test/", "http:///x",
+])
+def test_unsafe_addresses_are_refused(url):
+    with pytest.raises(fetch.Refused):
+        fetch.checked(url, lambda h, p: ["93.184.216.34"])
+
+
+def test_names_are_resolved_where_a_resolver_is_given():
+    assert fetch.checked(" https://a.test/x ", lambda h, p: ["93.184.216.34"]) == "https://a.test/x" == fetch.checked("https://a.test/x", None)
+    for found in ([], ["10.0.0.1"], ["93.184.216.34", "127.0.0.1"], ["fe80::1%eth0"]):
+        with pytest.raises(fetch.Refused):
+            fetch.checked("https://a.test/x", lambda h, p, found=found: found)
+
+
+def test_redirects_are_checked_at_every_hop():
+    own, asked = fetcher({"https://a.test/": (302, {"location": "/b"}, b""), "https://a.test/b": (301, {"location": "http://10.0.0.7/"}, b"")})
+    with pytest.raises(fetch.Refused):
+        own.text("https://a.test/")
+    assert asked == ["https://a.test/", "https://a.test/b"]
+    own, asked = fetcher({"https://a.test/": (302, {"location": "/"}, b"")})
+    with pytest.raises(fetch.Refused):
+        own.text("https://a.test/")
+    assert len(asked) == 6
+
+
+def test_bodies_are_limited_and_decoded():
+    html = {"content-type": "text/html; charset=latin-1"}
+    own, _ = fetcher({"https://a.test/": (200, html, "é".encode("latin-1")), "https://b.test/": (200, {"content-length": "99"}, b"x"), "https://c.test/": (200, {}, b"x" * 11), "https://d.test/": (200, {"content-type": "image/png"}, b"x"), "https://e.test/": (200, {}, b"\xff ok")}, most=10)
+    assert own.text("https://a.test/") == "é" and own.text("https://e.test/") == "\ufffd ok"
+    for u in "bcd":
+        with pytest.raises(fetch.Refused):
+            own.text(f"https://{u}.test/")
+
+
+def test_attempts():
+    own, asked = fetcher({"https://a.test/": [OSError("reset"), (503, {}, b""), (200, {}, b"ok")], "https://b.test/": [(404, {}, b"")], "https://c.test/": [OSError("x")] * 3})
+    assert own.text("https://a.test/") == "ok" and len(asked) == 3
+    with pytest.raises(fetch.Refused):
+        own.text("https://b.test/")
+    with pytest.raises(OSError):
+        own.text("https://c.test/")
+
+
+def test_pages_are_fetched_as_a_step(spark):
+    own, _ = fetcher({"https://a.test/": (200, {}, b"<p>x</p>"), "https://b.test/": (404, {}, b"")})
+    df = spark.createDataFrame([("https://a.test/",), ("https://a.test/",), ("https://b.test/",), (None,), ("file:///etc/hostname",)], "url string").withColumn("html", F.lit("clash"))
+    got = fetch.fetch_pages(df, fetcher=own).collect()
+    assert len(got) == 5 and {(r.url, r.html) for r in got if r.error is None} == {("https://a.test/", "<p>x</p>")}
+    assert fetch.fetch_pages(df.limit(0), fetcher=own).count() == 0
+
+
+def test_a_scan_that_fails_while_it_runs_is_left_out(spark):
+    ok = spark.createDataFrame([("s", "rss", "t", "u", None)], feeds.LISTING)
+    bad = ok.withColumn("title", F.raise_error(F.lit("broken feed")).cast("string"))
+    assert feeds.gather([lambda: bad, lambda: ok], spark).count() == 1

@@ -6,12 +6,12 @@ A payload that cannot be read gives no rows and harms no other.
 
 from __future__ import annotations
 
-import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 from functools import reduce
+from http.client import HTTPException
 from urllib.parse import quote_plus
 
 import pandas as pd
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wirelark.functions.url import is_safe
+from wirelark.session import stage
+from wirelark.sources.fetch import Fetcher, Refused
 
 LISTING = "source_name string, source_type string, title string, url string, published_at timestamp"
 SEARCH = "https://news.google.com/rss/search?"
@@ -113,13 +115,14 @@ def scan_api(payloads: DataFrame) -> DataFrame:
 
 
 def gather(readers: Sequence[Callable[[], DataFrame]], spark: SparkSession) -> DataFrame:
-    """The union of all scans; a scan that fails is left out."""
+    """The union of all scans; a scan that fails is left out.
+
+    Each scan is run and written by itself, so that one that fails while it runs harms no other.
+    """
     made = []
     for read in readers:
         try:
-            df = read()
-            df.schema  # noqa: B018 (analysis errors show here)
-            made.append(df)
+            made.append(stage(read(), "scan"))
         except Exception:  # noqa: BLE001
             continue
     if not made:
@@ -141,10 +144,14 @@ class FeedPartition(InputPartition):
         self.url = url
 
 
+#: Feeds may also come as JSON or under a type of their own.
+FEED_TYPES = ("xml", "rss", "atom", "json", "text/")
+
+
 class FeedReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
+    def __init__(self, options: dict[str, str], fetcher: Fetcher) -> None:
         self.urls = [u for u in options.get("urls", "").split() if u]
-        self.timeout = float(options.get("timeout", "15"))
+        self.fetcher = fetcher
 
     def partitions(self):
         return [FeedPartition(u) for u in self.urls] or [FeedPartition("")]
@@ -153,14 +160,19 @@ class FeedReader(DataSourceReader):
         if not partition.url:
             return
         try:
-            with urllib.request.urlopen(partition.url, timeout=self.timeout) as r:  # noqa: S310
-                yield (partition.url, r.read().decode("utf-8", "replace"))
-        except OSError:
+            yield (partition.url, self.fetcher.text(partition.url))
+        except (Refused, OSError, HTTPException):
             return
 
 
 class FeedSource(DataSource):
-    """spark.read.format("newsfeed").option("urls", ...): one task a feed; a feed that fails gives no row."""
+    """spark.read.format("newsfeed").option("urls", ...): one task a feed; a feed that fails gives no row.
+
+    Addresses are checked as those of pages are, with each redirect; bodies have a limit (see sources.fetch). A subclass can
+    bring a fetcher of its own.
+    """
+
+    fetcher: Fetcher | None = None
 
     @classmethod
     def name(cls) -> str:
@@ -170,4 +182,6 @@ class FeedSource(DataSource):
         return "feed_url string, xml string"
 
     def reader(self, schema) -> FeedReader:
-        return FeedReader(dict(self.options))
+        options = dict(self.options)
+        own = self.fetcher or Fetcher(timeout=float(options.get("timeout", "15")), content_types=FEED_TYPES)
+        return FeedReader(options, own)
