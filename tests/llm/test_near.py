@@ -78,6 +78,13 @@ def test_pairs_and_empty_tables(spark):
     assert near.groups(stage(pages.story_sets(stored(spark, ["x"]).limit(0)), "t")).count() == 0
 
 
+def test_pairs_of_a_group_of_many_blocks(spark):
+    n = 3 * near.BLOCK + 7
+    g = spark.range(n).selectExpr("id", "0L as group_id")
+    p = near.pairs_of(g)
+    assert p.count() == p.distinct().count() == n * (n - 1) // 2 and p.filter("id_a >= id_b").isEmpty()
+
+
 def candidates(spark, rows):
     return spark.createDataFrame(rows, "original_index bigint, batch_no int, url string, title string, full_text string, source_name string")
 
@@ -109,7 +116,7 @@ def plain_repeats(arts, cands):
 def test_repeats_equal_brute_force(spark, seed):
     arts, cands = entries(spark, seed)
     a = spark.createDataFrame(arts, "id bigint, url string, source_name string, article_text string, abstract string, title string")
-    got = {r.original_index for r in history.repeats(a, candidates(spark, cands)).collect()}
+    got = {r.original_index for r in history.repeats(a, candidates(spark, cands), buckets=2).collect()}
     assert got == plain_repeats(arts, cands)
 
 
@@ -117,7 +124,7 @@ def test_batch_by_batch_gives_the_same(spark):
     arts, cands = entries(spark, 3)
     a = spark.createDataFrame(arts, "id bigint, url string, source_name string, article_text string, abstract string, title string")
     c = candidates(spark, cands)
-    h = history.History(spark)
+    h = history.History(spark, buckets=2)
     h.append(history.article_entries(a))
     got = set()
     for b in sorted({x[1] for x in cands}):

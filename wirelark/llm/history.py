@@ -1,26 +1,26 @@
 """Problem 2: new batches against everything accepted before, without reading all of it again.
 
 Method: a persisted inverted file of vector cells with full vectors. The vector of a text is its set of word sequences;
-a cell is a locality key, and a vector lies in each of its cells. A batch is appended to the cells as one more part of
-the table; what was appended before is never rewritten, and no text of it is read again.
-
-Probing: the cells of a query are bounded first by the least distance to what they hold (set sizes and the 1,024-bit rows
-of near.possible); vectors that cannot be near enough are not fetched, and what remains is ranked by the exact distance.
-The first vector of each cell is tried first; a query that it settles probes no further, since no nearer match can
-change the result. A query that exact keys settle is not probed at all.
-
-A probe reads the narrow columns of the cells (three numbers a cell entry) and the full vectors of candidates only. Defined
-results: an entry of the history counts for a query if it was appended earlier, or in the same batch with a smaller order
-number; null keys match nothing; rows whose text is residue have no vector and no text keys; equal rows repeat each other.
+a cell is a locality key, and a vector lies in each of its cells. The file has three tables, each bucketed by what it is
+asked for and appended to by batch: cells by key, exact keys by value, full vectors by id. What was appended before is never
+rewritten, and no text of it is read again.
+
+Probing: the keys of the batch move to the buckets of the tables, the tables do not move: a probe shuffles what the batch
+has and what it meets, whatever the length of the history. The cells of a query are bounded first by the least distance to
+what they hold (set sizes and the 1,024-bit rows of near.possible); vectors that cannot be near enough are not fetched, and
+what remains is ranked by the exact distance. The first vector of each cell is tried first; a query that it settles probes no
+further, since no nearer match can change the result. A query that exact keys settle is not probed at all.
+
+A probe reads the narrow columns of the cells (three numbers a cell entry) and the vectors' columns that it compares, in place.
+Defined results: an entry of the history counts for a query if it was appended earlier, or in the same batch with a smaller
+order number; null keys match nothing; rows whose text is residue have no vector and no text keys; equal rows repeat each other.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from wirelark.functions import text, url
 from wirelark.llm import near, pages, sets
 from wirelark.session import shared_dir, stage
 
-LIMIT = 0.5
+LIMIT, BUCKETS = 0.5, 48
 #: Columns of an entry: a number that is unique and grows with the order of arrival, and the exact keys.
 _ENTRY = ("seq", "url_key", "text_key", "print_key")
 
@@ -44,56 +44,56 @@ def exact_keys(df: DataFrame, url_col: str, title_col: str, text_col: str) -> Da
 
 
 class History:
-    """The persisted index: folders "vectors" and "cells", one part of each for every batch."""
+    """The persisted index. buckets: files of each table a batch; so many tasks read it, so it should grow with the history
+    that is expected (some 100,000 entries a bucket)."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.buckets = spark, buckets
+        self.name = f"wirelark_{uuid.uuid4().hex}"
+        self.folder = folder or os.path.join(shared_dir(spark), f"wirelark-history-{self.name}")
 
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        self.spark = spark
-        self.folder = folder or os.path.join(shared_dir(spark), f"wirelark-history-{uuid.uuid4().hex}")
+    def _append(self, rows: DataFrame, kind: str, by: str) -> None:
+        made = rows.repartition(self.buckets, by).write.mode("append").option("path", f"{self.folder}/{kind}").option("compression", "zstd")
+        made.bucketBy(self.buckets, by).sortBy(by).format("parquet").saveAsTable(f"{self.name}_{kind}")
 
-    def append(self, entries: DataFrame) -> DataFrame:
-        """Writes vectors and cells of a batch: entries has seq, residue, exact keys and the columns of sets.Maker."""
-        part = f"{self.folder}/vectors/part={uuid.uuid4().hex}"
+    def _table(self, kind: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{kind}")
+
+    def append(self, entries: DataFrame) -> None:
+        """Adds a batch: entries has seq, residue, exact keys and the columns of sets.Maker. It is read once."""
         keep = lambda c: F.when(~F.col("residue"), F.col(c)).alias(c)
         bits = [f"b{i}" for i in range(sets.LONGS)]
-        entries.select(
+        made = stage(entries.select(
             F.col("seq").alias("id"), "url_key", keep("text_key"), keep("print_key"), "n", "set_hash", "toks", *bits, "keys"
-        ).write.option("compression", "zstd").parquet(part)
-        made = self.spark.read.parquet(part)
-        made.filter("n > 0").select("id", "set_hash", F.explode("keys").alias("key")).write.option("compression", "zstd").parquet(
-            part.replace("/vectors/", "/cells/")
-        )
-        return made
-
-    def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/vectors")
-
-    def cells(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/cells")
+        ), "history-batch")
+        known = [F.concat(F.lit(str(i)), F.col(c)) for i, c in enumerate(_ENTRY[1:])]
+        self._append(made.select("id", F.explode(F.array_compact(F.array(*known))).alias("val")), "exact", "val")
+        self._append(made.filter("n > 0").select("id", "set_hash", F.explode("keys").alias("key")), "cells", "key")
+        self._append(made.select("id", "n", "set_hash", "toks", *bits), "vectors", "id")
+
+    def _met(self, rows: DataFrame, by: str, first: int) -> DataFrame:
+        """by, head, and the rows of what a new entry shares with an earlier one. Only new values move."""
+        new = rows.filter(F.col("id") >= first).groupBy(by).agg(F.max("id").alias("last"))
+        new = new.repartition(self.buckets, by).hint("shuffle_hash")
+        shared = rows.join(new, by).groupBy(by).agg(F.min("id").alias("head"), F.max("last").alias("last"))
+        return rows.join(shared.filter("head < last").select(by, "head").hint("shuffle_hash"), by)
 
     def probe(self, first: int, limit: float = LIMIT) -> DataFrame:
         """id of the entries from number first on that repeat an earlier entry."""
-        vectors = self.vectors()
-        kinds = [F.struct(F.lit(i).alias("kind"), F.col(c).alias("val")) for i, c in enumerate(_ENTRY[1:])]
-        known = vectors.select("id", F.explode(F.array(*kinds)).alias("k")).select("id", "k.*").filter("val is not null")
-        seen = known.groupBy("kind", "val").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter(
-            (F.col("head") < F.col("last")) & (F.col("last") >= first)
-        )
-        same = known.filter(F.col("id") >= first).join(seen, ["kind", "val"]).filter("id > head").select("id").distinct()
-        same = stage(same, "history-same")
+        same = self._met(self._table("exact"), "val", first)
+        same = stage(same.filter((F.col("id") >= first) & (F.col("id") > F.col("head"))).select("id").distinct(), "history-same")
         # cells that hold a query and something earlier
-        cells = self.cells()
-        shared = cells.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter(
-            (F.col("head") < F.col("last")) & (F.col("last") >= first)
-        )
-        inside = stage(cells.join(shared.select("key", "head"), "key"), "history-cells")
+        inside = stage(self._met(self._table("cells"), "key", first), "history-cells")
         asked = inside.filter((F.col("id") >= first) & (F.col("id") > F.col("head"))).join(same, "id", "left_anti")
         heads = asked.select(F.col("id").alias("x"), F.col("head").alias("y")).distinct()
-        by_head = stage(near.compare(heads, vectors, limit).select(F.col("x").alias("id")).distinct(), "history-near")
+        vectors = self._table("vectors")
+        near_ = lambda pairs: near.compare(pairs, vectors, limit, parts=self.buckets).select(F.col("x").alias("id")).distinct()
+        by_head = stage(near_(heads), "history-near")
         rest = asked.join(by_head, "id", "left_anti").select("key", F.col("id").alias("x"), "head")
         # of equal sets in a cell the first stands for all, so that a cell full of copies is one probe
         kinds = inside.groupBy("key", "set_hash").agg(F.min("id").alias("y")).select("key", "y")
         others = rest.join(kinds, "key").filter("y < x and y <> head")
-        by_rest = near.compare(others.select("x", "y").distinct(), vectors, limit).select(F.col("x").alias("id")).distinct()
+        by_rest = near_(others.select("x", "y").distinct())
         return same.unionByName(by_head).unionByName(by_rest).distinct()
 
 
@@ -125,9 +125,9 @@ def candidate_entries(candidates: DataFrame) -> DataFrame:
     return made.withColumnRenamed("id", "seq").withColumn("residue", F.lit(False))
 
 
-def repeats(articles: DataFrame, candidates: DataFrame) -> DataFrame:
-    """original_index of the candidates that repeat an article or an earlier candidate."""
-    own = History(articles.sparkSession)
+def repeats(articles: DataFrame, candidates: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """original_index of the candidates that repeat an article or an earlier candidate. All batches are probed at once."""
+    own = History(articles.sparkSession, buckets=buckets)
     own.append(article_entries(articles))
     own.append(candidate_entries(candidates))
     return own.probe(0).select((F.col("id").bitwiseAND(F.lit((1 << 44) - 1))).alias("original_index"))

@@ -10,6 +10,8 @@ Steps, all of them joins and aggregations:
 3. The matrix: wherever several groups meet in a bucket, of whatever key, the documents of all but one are queries to the
    others. The bound is computed from 1,024-bit rows: tokens of the query whose bit the union lacks are surely missing. Only
    groups that can reach the limit are opened; their members are compared exactly. No true link that a bucket holds is lost.
+   Groups that a link joins are one group for the next pass over the buckets that are still open, until none is joined: a
+   larger group is also opened to those who meet another of its members.
 4. Components over all links.
 
 A group of copies that holds a third of all rows is one document after step 1. A bucket in which many groups meet is a hot
@@ -56,23 +58,26 @@ def possible(a: str, b: str, limit: float) -> Column:
     return (F.least(na, nb) >= F.lit(limit) * F.greatest(na, nb)) & (most >= F.lit(limit) * (na + nb - most))
 
 
-def compare(pairs: DataFrame, docs: DataFrame, limit: float, left: str = "x", right: str = "y") -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame, limit: float, left: str = "x", right: str = "y", parts: int | None = None) -> DataFrame:
     """The pairs (left, right: ids) whose documents are similar. docs: id, n, set_hash, toks, bits.
 
-    Bitmaps go first; token sets are fetched only for pairs that can still agree. Equal sets need no fetch.
+    Bitmaps go first; token sets are fetched only for pairs that can still agree. Equal sets need no fetch. parts: the number
+    of buckets by id of docs, if it is a bucketed table; then pairs move to its buckets and docs stays where it is.
     """
+    to = (lambda df, c: df.repartition(parts, c)) if parts else (lambda df, c: df)
+    small = (lambda df: df.hint("shuffle_hash")) if parts else (lambda df: df)
     light = docs.select("id", "n", "set_hash", *_BITS)
     a, b = light.alias("a"), light.alias("b")
+    one = small(to(pairs, left).alias("p")).join(a, F.col(f"p.{left}") == F.col("a.id"))
     met = (
-        pairs.join(a, F.col(left) == F.col("a.id"))
-        .join(b, F.col(right) == F.col("b.id"))
+        small(to(one, right)).join(b, F.col(f"p.{right}") == F.col("b.id"))
         .filter(possible("a", "b", limit))
         .select(left, right, (F.col("a.set_hash") == F.col("b.set_hash")).alias("same"))
-    )
+    )
     met = stage(met, "near-met")
     toks = docs.select("id", "toks")
     t1, t2 = toks.select(F.col("id").alias(left), F.col("toks").alias("t1")), toks.select(F.col("id").alias(right), F.col("toks").alias("t2"))
-    exact = met.filter("not same").join(t1, left).join(t2, right).filter(similar(F.col("t1"), F.col("t2"), limit))
+    exact = small(to(small(to(met.filter("not same"), left)).join(t1, left), right)).join(t2, right).filter(similar(F.col("t1"), F.col("t2"), limit))
     return met.filter("same").select(left, right).unionByName(exact.select(left, right))
 
 
@@ -102,20 +107,33 @@ def groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     first = stage(compare(star.distinct(), docs, limit), "near-links")
     part = stage(connected_components(first, "x", "y"), "near-first")
     of = met.join(part, met["id"] == part["node"], "left").select("key", "id", F.coalesce("component", "id").alias("g"))
-    of = stage(of, "near-parts")
     # buckets in which several groups meet
-    open_ = of.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
-    left = of.join(open_, "key")
+    several = lambda df: df.join(df.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key"), "key")
+    left = stage(several(stage(of, "near-parts")), "near-open")
+    links = first
+    while True:
+        found = matrix_links(left, part, one, docs, limit)
+        if found.isEmpty():
+            break
+        links = stage(links.unionByName(found), "near-links")
+        part = stage(connected_components(links, "x", "y"), "near-first")
+        left = left.select("key", "id").join(part, left["id"] == part["node"], "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+        left = stage(several(stage(left, "near-parts")), "near-open")
+    whole = connected_components(links.unionByName(same), "x", "y")
+    return whole.select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+
+
+def matrix_links(left: DataFrame, part: DataFrame, one: DataFrame, docs: DataFrame, limit: float) -> DataFrame:
+    """x, y: links between documents of different groups that meet in a bucket. left: key, id, g; part: node, component."""
     queries = left.select("key", F.col("id").alias("x"), F.col("g").alias("own"))
     others = left.select("key", "g").distinct()
     asked = stage(queries.join(others, "key").filter("own > g").select("x", "g").distinct(), "near-asked")
     # the token-group matrix: a row of bits for each group that is asked about
-    member = one.select("id", "n", *_BITS).join(part, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id"))
-    matrix = (
-        member.join(asked.select("g").distinct(), "g", "left_semi")
-        .groupBy("g")
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"), *[F.bit_or(b).alias(b) for b in _BITS])
-    )
+    wanted = asked.select("g").distinct()
+    held = part.join(wanted, part["component"] == wanted["g"]).select(F.col("node").alias("id"), "g")
+    alone = wanted.join(part, wanted["g"] == part["node"], "left_anti").select(F.col("g").alias("id"), "g")
+    member = stage(one.select("id", "n", *_BITS).join(stage(held.unionByName(alone), "near-members"), "id"), "near-rows")
+    matrix = member.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), *[F.bit_or(b).alias(b) for b in _BITS])
     q, m = docs.select("id", "n", *_BITS).alias("q"), matrix.alias("m")
     bound = F.col("q.n") - missing("q", "m")
     passed = (
@@ -129,9 +147,7 @@ def groups(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
         .select("x", asked["g"].alias("g"))
     )
     opened = passed.join(member.select("g", F.col("id").alias("y")), "g").select("x", "y").distinct()
-    links = compare(opened, docs, limit)
-    whole = connected_components(first.unionByName(links).unionByName(same), "x", "y")
-    return whole.select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+    return stage(compare(opened, docs, limit), "near-found")
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:

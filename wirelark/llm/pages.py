@@ -32,6 +32,11 @@ def with_recurrent(articles: DataFrame, url_col: str = "url", text_col: str = "a
     return articles.select(*keep, F.coalesce(url.host(F.col(url_col)), F.lit("")).alias("host")).join(often, "host", "left")
 
 
+def _titled(articles: DataFrame) -> DataFrame:
+    """articles, with null titles if it has none; notices by counts are then not looked for."""
+    return articles if "title" in articles.columns else articles.withColumn("title", F.lit(None).cast("string"))
+
+
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -59,7 +64,7 @@ def residue_found(articles: DataFrame) -> DataFrame:
                 made = pa.record_batch([_column(b, "id"), pa.array([f] * len(b)), *_noted(b, seen)], names=["id", "field_name", *_names(_NOTED)])
                 yield made.filter(pa.array(seen[0] | np.array([x is not None for x in seen[1]], dtype=bool)))
 
-    df = with_recurrent(articles, "url", "article_text", "id", "article_text", "abstract", "title")
+    df = with_recurrent(_titled(articles), "url", "article_text", "id", "article_text", "abstract", "title")
     noted = stage(df.mapInArrow(run, f"id bigint, field_name string, {_NOTED}"), "residue")
     return noted.filter("residue").select("id", "field_name").unionByName(residue.late(noted))
 
@@ -85,7 +90,7 @@ def furniture_found(articles: DataFrame) -> DataFrame:
                 cols = [_column(b, "id"), pa.array([f] * n), lines, *_noted(b, seen)]
                 yield pa.record_batch(cols, names=["id", "field_name", "lines", *_names(_NOTED)]).filter(pa.array(some))
 
-    df = with_recurrent(articles, "url", "article_text", "id", "article_text", "abstract", "title")
+    df = with_recurrent(_titled(articles), "url", "article_text", "id", "article_text", "abstract", "title")
     noted = stage(df.mapInArrow(run, f"id bigint, field_name string, lines array<int>, {_NOTED}"), "furniture")
     late = stage(residue.late(noted), "late")
     left = noted.select("id", "field_name", "lines").join(late, ["id", "field_name"], "left_anti")
@@ -114,7 +119,7 @@ def judged_stories(articles: DataFrame, extra: tuple[str, ...] = ()) -> tuple[Da
 
     articles: id, url, title, article_text and the columns extra (strings).
     """
-    df = with_recurrent(articles, "url", "article_text", "id", "article_text", "title", *extra)
+    df = with_recurrent(_titled(articles), "url", "article_text", "id", "article_text", "title", *extra)
     more = "".join(f"{x} string, " for x in extra)
     made = stage(df.mapInArrow(story_runner("id", "article_text", True, extra), f"id bigint, {_NOTED}, {more}{sets.DDL}"), "stories")
     late = stage(residue.late(made.withColumn("field_name", F.lit("article_text"))).select("id"), "late")
