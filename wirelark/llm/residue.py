@@ -103,32 +103,38 @@ NOTICE = (
 #: A notice found by counts: titles and hosts at least, words at most, titles a page at least, and the share of its pages that
 #: may have a word in common, with each other's titles or between sentence and title.
 PAGES, HOSTS, NOTICE_WORDS, TITLES, SHARED = 5, 3, 40, 0.8, 0.4
-# The same steps in Java's and RE2's syntax: words with digits go, then all that is no letter; then the middle of the line.
-_WHOLE = ((r"\S*\d\S*", " "), (r"[^\p{L}]+", " "), (r"^ +| +$", ""))
-_ENDS = (*_WHOLE, (r"^(\S+ \S+ \S+ \S+) .* (\S+ \S+ \S+ \S+)$", r"\1 \2"))
+#: All that is no letter, and the words with digits that whole lines are compared without.
+_GAP, _NUMBER = r"[^\p{L}]+", r"\S*\d\S*"
+
+
+def letters_of(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), _GAP, " "))
+
+
+def ends_of(t: Column) -> Column:
+    return F.concat_ws(" ", F.substring_index(t, " ", 4), F.substring_index(t, " ", -4))
 
 
 def normal_line(line: Column) -> Column:
-    """The first and last four words of a line in lower case, without numbers; empty for a line without letters."""
-    out = F.lower(line)
-    for old, new in _ENDS:
-        out = F.regexp_replace(out, old, new.replace("\\", "$"))
-    return out
+    """The first and last four words of a line in lower case, without numbers; a blank for a line without letters."""
+    return ends_of(letters_of(line))
 
 
 def line_key(line: Column) -> Column:
     """64 bits of normal_line(); null for a line without letters."""
     t = normal_line(line)
-    return F.when(t != "", F.xxhash64(t))
+    return F.when(t != " ", F.xxhash64(t))
 
 
 def line_keys(lines: pa.Array, whole: bool = False) -> np.ndarray:
     """line_key() of an array of lines, or the same of whole lines; 0 for lines without letters."""
     t = pc.utf8_lower(lines)
-    for old, new in _WHOLE if whole else _ENDS:
-        t = pc.replace_substring_regex(t, old, new)
+    t = pc.utf8_trim(pc.replace_substring_regex(pc.replace_substring_regex(t, _NUMBER, " ") if whole else t, _GAP, " "), " ")
+    if not whole:
+        first = pc.replace_substring_regex(t, r"^(\S+ \S+ \S+ \S+) .*$", r"\1")
+        t = pc.binary_join_element_wise(first, pc.replace_substring_regex(t, r"^.* (\S+ \S+ \S+ \S+)$", r"\1"), " ")
     d = t.dictionary_encode()
-    own = np.array([xxhash.xxh64_intdigest(x.encode(), seed=42) if x else 0 for x in d.dictionary.to_pylist()], dtype=np.uint64)
+    own = np.array([xxhash.xxh64_intdigest(x.encode(), seed=42) if x.strip() else 0 for x in d.dictionary.to_pylist()], dtype=np.uint64)
     return own.view(np.int64)[d.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(len(t), dtype=np.int64)
 
 
@@ -139,8 +145,10 @@ def recurrent_lines(articles: DataFrame, url_col: str, text_col: str, share: flo
     definition: at most the lines of a page divided by share.
     """
     host = F.coalesce(url.host(F.col(url_col)), F.lit(""))
-    keys = F.filter(F.transform(F.split(F.col(text_col), "\n"), line_key), lambda k: k.isNotNull())
-    lines = articles.select(host.alias("host"), F.explode(F.array_distinct(keys)).alias("key"))
+    # normal_line() in two steps, since a lambda would evaluate the first one twice
+    texts = F.array_distinct(F.transform(F.transform(F.split(F.col(text_col), "\n"), letters_of), ends_of))
+    rows = articles.select(host.alias("host"), F.explode(texts).alias("line")).filter("line <> ' '")
+    lines = rows.select("host", F.xxhash64("line").alias("key"))
     pages = articles.groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
     often = lines.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return (
