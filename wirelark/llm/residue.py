@@ -236,8 +236,13 @@ def judge(texts: pa.Array, hosts: Hosts | None = None, titles: pa.Array | None =
         holder[holder] = _matches(rest, PLACEHOLDER)
     evident = evident_lines(t)
     words = _words(t)
-    left = ~evident if hosts is None else ~evident & ~hosts.gone(doc, line_keys(t))
-    prose = left & (words >= PROSE) & _matches(t, _PROSE) & ~_matches(t, EDITORIAL)
+    prose = ~evident & (words >= PROSE)
+    some = np.flatnonzero(prose)
+    if len(some):
+        own = t.take(pa.array(some))
+        prose[some] = _matches(own, _PROSE) & ~_matches(own, EDITORIAL)
+        if hosts is not None:
+            prose[some] &= ~hosts.gone(doc[some], line_keys(own))
     count = lambda m: np.bincount(doc[m], minlength=n)
     held, sure, told = count(holder) > 0, count(evident) > 0, count(prose)
     out = held | sure & (told == 0)
