@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wirelark.functions import text, url
 from wirelark.llm import near, pages, sets
-from wirelark.session import shared_dir, stage
+from wirelark.session import release, shared_dir, stage, staged
 
 LIMIT, BUCKETS = 0.5, 48
 #: Columns of an entry: a number that is unique and grows with the order of arrival, and the exact keys.
@@ -63,6 +63,7 @@ class History:
         """Adds a batch: entries has seq, residue, exact keys and the columns of sets.Maker. It is read once."""
         keep = lambda c: F.when(~F.col("residue"), F.col(c)).alias(c)
         bits = [f"b{i}" for i in range(sets.LONGS)]
+        before = staged(self.spark)
         made = stage(entries.select(
             F.col("seq").alias("id"), "url_key", keep("text_key"), keep("print_key"), "n", "set_hash", "toks", *bits, "keys"
         ), "history-batch")
@@ -70,6 +71,7 @@ class History:
         self._append(made.select("id", F.explode(F.array_compact(F.array(*known))).alias("val")), "exact", "val")
         self._append(made.filter("n > 0").select("id", "set_hash", F.explode("keys").alias("key")), "cells", "key")
         self._append(made.select("id", "n", "set_hash", "toks", *bits), "vectors", "id")
+        release(self.spark, before)
 
     def _met(self, rows: DataFrame, by: str, first: int) -> DataFrame:
         """by, head, and the rows of what a new entry shares with an earlier one. Only new values move."""
