@@ -133,6 +133,62 @@ def test_batch_by_batch_gives_the_same(spark):
     assert got == plain_repeats(arts, cands)
 
 
+def hot_cell(spark, n, seed=5):
+    """Entries that all share one key, numbers -n to n - 1; every tenth later one is near an earlier one. Also the numbers of these."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    rows, true = [], set()
+    for i in range(2 * n):
+        toks = r.integers(-(2**31), 2**31, size=int(r.integers(100, 140)))
+        if i > n and i % 10 == 0:
+            toks = np.r_[np.array(rows[int(r.integers(0, i))][7])[9:], 1, 2, 3]
+            true.add(i - n)
+        bits = np.zeros(1024, dtype=np.uint8)
+        bits[toks & 1023] = 1
+        longs = np.packbits(bits).view(np.int64).tolist()
+        rows.append((i - n, False, f"u{i}", f"t{i}", f"p{i}", len(toks), i, sorted(toks.tolist()), *longs, [7, 100 + i]))
+    ddl = "seq bigint, residue boolean, url_key string, text_key string, print_key string, n int, set_hash bigint, toks array<int>, "
+    return spark.createDataFrame(rows, ddl + ", ".join(f"b{i} bigint" for i in range(16)) + ", keys array<bigint>"), true
+
+
+def test_pairs_of_a_cell_of_common_wording_are_never_rows(spark, monkeypatch):
+    made, true = hot_cell(spark, 150)
+    asked, compare, agreed = [], near.compare, getattr(near, "agreed", None)
+    monkeypatch.setattr(near, "compare", lambda pairs, *a, **k: (asked.append(pairs.count()), compare(pairs, *a, **k))[1])
+    if agreed:
+        monkeypatch.setattr(near, "agreed", lambda met, *a, **k: (asked.append(met.count()), agreed(met, *a, **k))[1])
+    for block, rows in ((history.BLOCK, 10_000), (16, 37)):
+        monkeypatch.setattr(history, "BLOCK", block)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        h = history.History(spark, buckets=2)
+        h.append(made.filter("seq < 0"))
+        h.append(made.filter("seq >= 0"))
+        got = {r.id for r in h.probe(0).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == true
+    assert max(asked) <= 300  # of 33,675 pairs
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_bounds_in_a_task_are_those_of_rows(spark, monkeypatch, dense):
+    import pyarrow as pa
+
+    monkeypatch.setattr(history, "CHUNK", 500 if dense else 10**6)
+    monkeypatch.setattr(history, "SIDE", 33)
+    made, _ = hot_cell(spark, 60)
+    bits = [f"b{i}" for i in range(16)]
+    e = made.selectExpr("seq as id", "n", *bits)
+    kinds = e.filter("id < 40").selectExpr("id % 2 as key", "0 as block", "id", "false as query", "n", *bits)
+    cells = kinds.unionByName(e.filter("id >= 0").selectExpr("id % 2 as key", "0 as block", "id", "true as query", "n", *bits))
+    rows = pa.Table.from_pandas(cells.orderBy("key", "block", "id", F.desc("query")).toPandas()).combine_chunks().to_batches()[0]
+    got = {(x, y) for b in history.possible(rows, 0.05) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist())}
+    a, b = e.alias("a"), e.alias("b")
+    pairs = a.join(b, (F.col("b.id") < F.col("a.id")) & (F.col("a.id") >= 0) & (F.col("b.id") < 40) & (F.col("a.id") % 2 == F.col("b.id") % 2))
+    want = {(x, y) for x, y in pairs.filter(near.possible("a", "b", 0.05)).select("a.id", "b.id").collect()}
+    assert got == want and 10 < len(want) < pairs.count()
+
+
 def test_recall_of_the_keys_at_the_limit():
     import numpy as np
 

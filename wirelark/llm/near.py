@@ -62,23 +62,37 @@ def compare(pairs: DataFrame, docs: DataFrame, limit: float, left: str = "x", ri
     """The pairs (left, right: ids) whose documents are similar. docs: id, n, set_hash, toks, bits.
 
     Bitmaps go first; token sets are fetched only for pairs that can still agree. Equal sets need no fetch. parts: the number
-    of buckets by id of docs, if it is a bucketed table; then pairs move to its buckets and docs stays where it is.
+    of buckets by id of docs, if it is a bucketed table; see fetched.
     """
-    to = (lambda df, c: df.repartition(parts, c)) if parts else (lambda df, c: df)
-    small = (lambda df: df.hint("shuffle_hash")) if parts else (lambda df: df)
-    light = docs.select("id", "n", "set_hash", *_BITS)
-    a, b = light.alias("a"), light.alias("b")
-    one = small(to(pairs, left).alias("p")).join(a, F.col(f"p.{left}") == F.col("a.id"))
+    light = ("n", "set_hash", *_BITS)
+    a, b = fetched(docs, pairs, left, parts, *light).alias("a"), fetched(docs, pairs, right, parts, *light).alias("b")
     met = (
-        small(to(one, right)).join(b, F.col(f"p.{right}") == F.col("b.id"))
+        pairs.alias("p").join(a, F.col(f"p.{left}") == F.col("a.id"))
+        .join(b, F.col(f"p.{right}") == F.col("b.id"))
         .filter(possible("a", "b", limit))
         .select(left, right, (F.col("a.set_hash") == F.col("b.set_hash")).alias("same"))
     )
     met = stage(met, "near-met")
-    toks = docs.select("id", "toks")
-    t1, t2 = toks.select(F.col("id").alias(left), F.col("toks").alias("t1")), toks.select(F.col("id").alias(right), F.col("toks").alias("t2"))
-    exact = small(to(small(to(met.filter("not same"), left)).join(t1, left), right)).join(t2, right).filter(similar(F.col("t1"), F.col("t2"), limit))
-    return met.filter("same").select(left, right).unionByName(exact.select(left, right))
+    return met.filter("same").select(left, right).unionByName(agreed(met.filter("not same"), docs, limit, left, right, parts))
+
+
+def agreed(met: DataFrame, docs: DataFrame, limit: float, left: str = "x", right: str = "y", parts: int | None = None) -> DataFrame:
+    """The pairs that are similar by their token sets."""
+    t1, t2 = (fetched(docs, met, c, parts, "toks").select(F.col("id").alias(c), F.col("toks").alias(t)) for c, t in ((left, "t1"), (right, "t2")))
+    return met.join(t1, left).join(t2, right).filter(similar(F.col("t1"), F.col("t2"), limit)).select(left, right)
+
+
+def fetched(docs: DataFrame, pairs: DataFrame, by: str, parts: int | None, *columns: str) -> DataFrame:
+    """id and columns of the docs that pairs name in the column by.
+
+    From a table in buckets by id only the wanted rows move: their distinct ids go to the buckets and are held there, at most
+    as many as a bucket has rows, however often pairs name them; the joins with pairs that follow can spill.
+    """
+    own = docs.select("id", *columns)
+    if not parts:
+        return own
+    ids = pairs.select(F.col(by).alias("id")).distinct().repartition(parts, "id")
+    return own.join(ids.hint("shuffle_hash"), "id", "left_semi")
 
 
 def copies(docs: DataFrame) -> DataFrame:
