@@ -171,5 +171,23 @@ def test_initials_of_a_merged_spelling(spark):
     assert {r.id: r.org_id for r in names.linked(df, orgs).collect()} == {1: 20, 2: 20, 3: 21, 4: 21}
 
 
+def test_names_that_no_rare_word_leads_to(spark):
+    """Organisations of common words only, words joined and split, edits at both ends of a word, and long initials."""
+    ends = ("Foods", "Telecom", "Shipping", "Textiles", "Robotics", "Airlines")
+    names_ = [f"{w} {v} Ltd" for w in ("Northern", "Western", "Central", "Eastern", "Coastal", "Highland") for v in ends]
+    names_ += ["Gaizupaxel Mining Ltd", "Baip Ruck Mining Ltd", "Amber Birch Cedar Dogwood Elder Fig Ginkgo Hazel Ivy Juniper"]
+    orgs = spark.createDataFrame([(i, n, f"City{i}") for i, n in enumerate(names_)], "org_id bigint, org_name string, city string")
+    means = {"NORTHERN FOODS LTD": 0, "Northern Fods Ltd": 0, "WesternTelecom Ltd": 7, "Higland Airlnes Ltd": 35, "Giazupaxle Mining Ltd": 36, "BaipRuck Minnig Ltd": 37, "A.B.C.D.E.F.G.H.I.J.": 38}
+    rows = [(i, n) for i, n in enumerate([*means, "Northern", "Foods Ltd", "portal"])]
+    df = spark.createDataFrame(rows, "id bigint, victim_name string")
+    assert {r.id: r.org_id for r in names.linked(df, orgs).collect()} == {i: means[n] for i, n in rows if n in means}
+
+
+def test_a_word_two_edits_away_does_not_stand_for_a_longer_name(spark):
+    orgs = spark.createDataFrame([(1, "Forthas Energy Company", "Cazalt")] + [(10 + i, f"{w} Energy Company", w) for i, w in enumerate(("Velmorat", "Quistan", "Drofenil", "Wakelow", "Zurmanth"))], "org_id bigint, org_name string, city string")
+    df = spark.createDataFrame([(1, "customers of the portal"), (2, "Fortas Energy Co")], "id bigint, victim_name string")
+    assert {r.id: r.org_id for r in names.linked(df, orgs).collect()} == {2: 1}
+
+
 def test_edits():
     assert names.edits("abc", "acb", 2) == 1 and names.edits("abc", "abc", 2) == 0 and names.edits("abc", "xyz", 2) == 3 and names.edits("ab", "abcde", 2) == 3
