@@ -133,6 +133,51 @@ def test_batch_by_batch_gives_the_same(spark):
     assert got == plain_repeats(arts, cands)
 
 
+def test_texts_are_keyed_and_written_once(spark, monkeypatch):
+    arts, cands = entries(spark, 3)
+    a = spark.createDataFrame(arts, "id bigint, url string, source_name string, article_text string, abstract string, title string")
+    c, names = candidates(spark, cands), []
+    plan = history.candidate_entries(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan  # the pass that reads a text makes its keys
+    monkeypatch.setattr(history, "stage", lambda df, name: (names.append(name), stage(df, name))[1])
+    got = {r.original_index for r in history.repeats(a, c, buckets=2).collect()}
+    assert got == plain_repeats(arts, cands)
+    assert names.count("history-batch") == 1  # the stored entries are staged already
+
+
+def test_text_keys_are_those_of_the_columns(spark):
+    import pyarrow as pa
+
+    from wirelark.functions import text
+
+    odd = [None, "", " \n", "A  b\x1c\u00a0C", "ΟΔΟΣ ΣΑΣ", "İstanbul Straße", "𝒜 b" * 1100, "x" * 2999 + "Σ y", "x" * 2998 + " Σa", "a\u200bb\u2003c\x85d", "é" * 5000]
+    rows = [(t, title) for t in odd for title in (None, "", " Ti  tle\t", "ΤΙΤΛΟΣ")]
+    df = spark.createDataFrame(rows, "t string, title string").coalesce(1)
+    want = df.select("t", "title", F.substring(text.content_hash("t"), 1, 32).alias("a"), F.substring(text.fingerprint(F.col("title"), F.col("t")), 1, 32).alias("b")).collect()
+    got = history.text_keys(pa.array([r.t for r in want], pa.string()), pa.array([r.title for r in want], pa.string()))
+    assert [x.to_pylist() for x in got] == [[r.a for r in want], [r.b for r in want]]
+
+
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    import numpy as np
+
+    from wirelark.llm import sets
+
+    texts = [None, "", "one", "one two", "one two three", "a b c d", "A_b c-d É ß", "İs ΣΑΣ x_y 3rd", "", *[t for t in collection(9) if t], "wo " * 9000, "end of it"]
+    skip = np.array([i % 7 == 6 for i in range(len(texts))])
+    m = sets.Maker()
+    for many in (1, 40, sets.AT_ONCE):
+        monkeypatch.setattr(sets, "AT_ONCE", many)
+        got = dict(zip(sets.NAMES, (x.to_pylist() for x in m.arrays(texts, skip))))
+        for i, t in enumerate(texts):
+            three, four, words = m.grams("" if skip[i] else t or "")
+            assert (got["n"][i], got["words"][i]) == (len(three), words)
+            assert got["toks"][i] == three.astype(np.uint32).view(np.int32).tolist()
+            assert got["keys"][i] == (m.keys(four).tolist() if len(three) else [])
+            marked = {64 * j + k for j in range(16) for k in range(64) if got[f"b{j}"][i] >> (8 * (k // 8) + 7 - k % 8) & 1}
+            assert marked == {int(x) & 1023 for x in three}
+
+
 def hot_cell(spark, n, seed=5):
     """Entries that all share one key, numbers -n to n - 1; every tenth later one is near an earlier one. Also the numbers of these."""
     import numpy as np

@@ -19,6 +19,7 @@ order number; null keys match nothing; rows whose text is residue have no vector
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelark.functions import text, url
+from wirelark.functions import url
 from wirelark.llm import near, pages, sets
 from wirelark.session import release, shared_dir, stage, staged
 
@@ -37,16 +38,34 @@ LIMIT, BUCKETS = 0.5, 48
 ENTRIES, BLOCK, CHUNK, SIDE = 25_000, 2_048, 1 << 15, 1_024
 #: Columns of an entry: a number that is unique and grows with the order of arrival, and the exact keys.
 _ENTRY = ("seq", "url_key", "text_key", "print_key")
+#: Characters of a text that text.fingerprint takes.
+PRINTED = 3000
 
 
-def exact_keys(df: DataFrame, url_col: str, title_col: str, text_col: str) -> DataFrame:
-    """df with url_key, text_key and print_key: 128 bits of canonical URL, content hash and fingerprint."""
-    half = lambda c: F.substring(c, 1, 32)
-    return df.withColumns({
-        "url_key": F.md5(url.canonicalize(F.col(url_col))),
-        "text_key": half(text.content_hash(F.col(text_col))),
-        "print_key": half(text.fingerprint(F.col(title_col), F.col(text_col))),
-    })
+def url_key(c: Column) -> Column:
+    """128 bits of the canonical URL."""
+    return F.md5(url.canonicalize(c))
+
+
+def text_keys(texts: pa.Array, titles: pa.Array) -> list[pa.Array]:
+    """text_key and print_key: 128 bits of text.content_hash and text.fingerprint.
+
+    Made in the pass that reads the texts anyway. Words are split once for both keys, but for texts of more than the characters
+    that the fingerprint takes.
+    """
+    made: tuple[list, list] = [], []
+    half = lambda words: hashlib.sha256(" ".join(words).encode()).hexdigest()[:32]
+    for t, title in zip((x.as_py() for x in texts), (x.as_py() for x in titles)):
+        words = None if t is None else t.lower().split()
+        made[0].append(None if words is None else half(words))
+        if words is not None and len(t) > PRINTED:
+            words = t[:PRINTED].lower().split()
+        made[1].append(None if words is None or title is None else half(title.lower().split() + words))
+    return [pa.array(x, pa.string()) for x in made]
+
+
+def _text_keys(text_col: str) -> pages.Made:
+    return ("text_key", "print_key"), lambda b: text_keys(*(b.column(b.schema.get_field_index(c)) for c in (text_col, "title")))
 
 
 class History:
@@ -66,14 +85,14 @@ class History:
     def _table(self, kind: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{kind}")
 
-    def append(self, entries: DataFrame) -> None:
-        """Adds a batch: entries has seq, residue, exact keys and the columns of sets.Maker. It is read once."""
+    def append(self, entries: DataFrame, written: bool = False) -> None:
+        """Adds a batch: entries has seq, residue, exact keys and the columns of sets.Maker. It is read once, or in place once
+        for each of the three tables if it is cheap to read again (written: it comes from a staged table)."""
         keep = lambda c: F.when(~F.col("residue"), F.col(c)).alias(c)
         bits = [f"b{i}" for i in range(sets.LONGS)]
         before = staged(self.spark)
-        made = stage(entries.select(
-            F.col("seq").alias("id"), "url_key", keep("text_key"), keep("print_key"), "n", "set_hash", "toks", *bits, "keys"
-        ), "history-batch")
+        made = entries.select(F.col("seq").alias("id"), "url_key", keep("text_key"), keep("print_key"), "n", "set_hash", "toks", *bits, "keys")
+        made = made if written else stage(made, "history-batch")
         known = [F.concat(F.lit(str(i)), F.col(c)) for i, c in enumerate(_ENTRY[1:])]
         self._append(made.select("id", F.explode(F.array_compact(F.array(*known))).alias("val")), "exact", "val")
         self._append(made.filter("n > 0").select("id", "set_hash", F.explode("keys").alias("key")), "cells", "key")
@@ -191,10 +210,9 @@ def possible(cells: pa.RecordBatch, limit: float) -> Iterator[pa.RecordBatch]:
 
 
 def article_entries(articles: DataFrame) -> DataFrame:
-    """Entries of stored articles; their numbers are negative, so that all candidates come later."""
-    keyed = exact_keys(articles, "url", "title", "article_text")
-    extra = ("url_key", "text_key", "print_key")
-    made, late = pages.judged_stories(keyed.select("id", "url", "title", "article_text", *extra), extra)
+    """Entries of stored articles, from a staged table; their numbers are negative, so that all candidates come later."""
+    keyed = articles.select("id", "url", "title", "article_text", url_key(F.col("url")).alias("url_key"))
+    made, late = pages.judged_stories(keyed, ("url_key",), _text_keys("article_text"))
     made = made.join(late.select("id", F.lit(True).alias("late")), "id", "left")
     bad = F.col("residue") | F.col("late").isNotNull()
     blank = {"n": F.lit(0), "toks": F.array().cast("array<int>"), "keys": F.array().cast("array<bigint>")}
@@ -208,12 +226,11 @@ def candidate_seq(batch: Column, order: Column) -> Column:
 
 
 def candidate_entries(candidates: DataFrame) -> DataFrame:
-    keyed = exact_keys(candidates, "url", "title", "full_text")
-    extra = ("url_key", "text_key", "print_key")
-    rows = keyed.select(candidate_seq(F.col("batch_no"), F.col("original_index")).alias("seq"), "full_text", *extra)
-
+    seq = candidate_seq(F.col("batch_no"), F.col("original_index"))
+    rows = candidates.select(seq.alias("seq"), "title", "full_text", url_key(F.col("url")).alias("url_key"))
     made = rows.mapInArrow(
-        pages.story_runner("seq", "full_text", False, extra), f"id bigint, url_key string, text_key string, print_key string, {sets.DDL}"
+        pages.story_runner("seq", "full_text", False, ("url_key",), _text_keys("full_text")),
+        f"id bigint, url_key string, text_key string, print_key string, {sets.DDL}",
     )
     return made.withColumnRenamed("id", "seq").withColumn("residue", F.lit(False))
 
@@ -225,6 +242,6 @@ def repeats(articles: DataFrame, candidates: DataFrame, buckets: int | None = No
     """
     buckets = buckets or max(BUCKETS, -(-(articles.count() + candidates.count()) // ENTRIES))
     own = History(articles.sparkSession, buckets=buckets)
-    own.append(article_entries(articles))
+    own.append(article_entries(articles), written=True)
     own.append(candidate_entries(candidates))
     return own.probe(0).select((F.col("id").bitwiseAND(F.lit((1 << 44) - 1))).alias("original_index"))

@@ -98,8 +98,14 @@ def furniture_found(articles: DataFrame) -> DataFrame:
     return left.select("id", "field_name", F.explode("lines").alias("line_no"))
 
 
-def story_runner(id_col: str, text_col: str, judged: bool, extra: tuple[str, ...] = ()) -> Callable:
-    """A pass that gives for each row its id, what residue.late needs (nothing if not judged), and the word sets of its story."""
+#: Names of string columns, and what makes them of a batch.
+Made = tuple[tuple[str, ...], Callable[[pa.RecordBatch], list[pa.Array]]]
+_NONE: Made = ((), lambda _: [])
+
+
+def story_runner(id_col: str, text_col: str, judged: bool, extra: tuple[str, ...] = (), also: Made = _NONE) -> Callable:
+    """A pass that gives for each row its id, what residue.late needs (nothing if not judged), the columns extra and also, and
+    the word sets of its story."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = sets.Maker()
@@ -107,21 +113,21 @@ def story_runner(id_col: str, text_col: str, judged: bool, extra: tuple[str, ...
             texts, n = _column(b, text_col), len(b)
             seen = residue.judge(texts, _hosts(b), _column(b, "title")) if judged else (np.zeros(n, dtype=bool), [], [])
             main = body.join_story(body.furniture(texts), n)
-            cols = [_column(b, id_col), *(_noted(b, seen) if judged else []), *(_column(b, x) for x in extra), *maker.arrays(main, seen[0])]
-            yield pa.record_batch(cols, names=["id", *(_names(_NOTED) if judged else []), *extra, *sets.NAMES])
+            cols = [_column(b, id_col), *(_noted(b, seen) if judged else []), *(_column(b, x) for x in extra), *also[1](b), *maker.arrays(main, seen[0])]
+            yield pa.record_batch(cols, names=["id", *(_names(_NOTED) if judged else []), *extra, *also[0], *sets.NAMES])
 
     return run
 
 
-def judged_stories(articles: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """A written table (id, residue, extra and the word sets of the main text of each article, see sets.Maker), and a
+def judged_stories(articles: DataFrame, extra: tuple[str, ...] = (), also: Made = _NONE) -> tuple[DataFrame, DataFrame]:
+    """A written table (id, residue, extra, also and the word sets of the main text of each article, see sets.Maker), and a
     small one with the ids whose text is residue by residue.late only.
 
     articles: id, url, title, article_text and the columns extra (strings).
     """
     df = with_recurrent(_titled(articles), "url", "article_text", "id", "article_text", "title", *extra)
-    more = "".join(f"{x} string, " for x in extra)
-    made = stage(df.mapInArrow(story_runner("id", "article_text", True, extra), f"id bigint, {_NOTED}, {more}{sets.DDL}"), "stories")
+    more = "".join(f"{x} string, " for x in (*extra, *also[0]))
+    made = stage(df.mapInArrow(story_runner("id", "article_text", True, extra, also), f"id bigint, {_NOTED}, {more}{sets.DDL}"), "stories")
     late = stage(residue.late(made.withColumn("field_name", F.lit("article_text"))).select("id"), "late")
     return made, late
 
