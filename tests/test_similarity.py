@@ -115,3 +115,35 @@ def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(300)], "src bigint, dst bigint")
     got = connected_components(e).collect()
     assert len(got) == 301 and {r.component for r in got} == {0}
+
+
+def test_no_pair_below_the_threshold_is_written(spark, monkeypatch):
+    """A frequent phrase in all documents pairs everything; what is staged and shuffled must not grow with those pairs."""
+    docs = {i: f"common phrase everywhere own{i} mark{i} sign{i} story{i} item{i}" + (" twin tale told" if i in (3, 900) else "") for i in range(1000)}
+    docs[900] = docs[3] + " more"
+    rows = {}
+    kept = tfidf.stage
+
+    def counted(df, name, **by):
+        made = kept(df, name, **by)
+        rows[name] = rows.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(tfidf, "stage", counted)
+    got = tfidf.near_pairs(spark.createDataFrame(list(docs.items()), "id bigint, doc string"), 0.5).collect()
+    v = vectors(docs)
+    assert [(r.i, r.j) for r in got] == [(3, 900)] and abs(got[0].score - dot(v[3], v[900])) < 1e-9
+    assert max(rows.values()) <= len(docs), rows
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.34, 0.7])
+def test_blocks_give_what_one_block_gives(spark, monkeypatch, threshold):
+    docs = corpus(40, 5)
+    table = spark.createDataFrame(list(docs.items()), "id bigint, doc string")
+    one = {(r.i, r.j): r.score for r in tfidf.near_pairs(table, threshold).collect()}
+    monkeypatch.setattr(tfidf, "BLOCK_DOCS", 11)
+    many = {(r.i, r.j): r.score for r in tfidf.near_pairs(table, threshold).collect()}
+    v = vectors(docs)
+    want = {(i, j): dot(v[i], v[j]) for i in docs for j in docs if i < j and dot(v[i], v[j]) >= threshold}
+    assert set(one) == set(many) == set(want)
+    assert all(abs(one[k] - want[k]) < 1e-9 and abs(many[k] - want[k]) < 1e-9 for k in want)
