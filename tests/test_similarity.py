@@ -147,3 +147,23 @@ def test_blocks_give_what_one_block_gives(spark, monkeypatch, threshold):
     want = {(i, j): dot(v[i], v[j]) for i in docs for j in docs if i < j and dot(v[i], v[j]) >= threshold}
     assert set(one) == set(many) == set(want)
     assert all(abs(one[k] - want[k]) < 1e-9 and abs(many[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_topic_match_makes_no_row_of_a_shared_term(spark, monkeypatch):
+    docs = corpus(40, 7)
+    stored = {100 + k: d for k, d in docs.items() if k >= 20 and d}
+    cand = {k: d for k, d in docs.items() if k < 20}
+    want = {}
+    for i, d in cand.items():
+        v = vectors(stored | {i: d})
+        s, p = max((round(dot(v[i], v[j]), 12), -j) for j in stored)
+        if s >= 0.2:
+            want[i] = (-p, s)
+    monkeypatch.setattr(tfidf, "BLOCK_DOCS", 7)
+    got = tfidf.topic_match(
+        spark.createDataFrame([(k, d, ["a", "b"]) for k, d in cand.items()], "id bigint, doc string, terms array<string>"),
+        spark.createDataFrame([(k, k, d, ["a", "b"]) for k, d in stored.items()], "id bigint, pos bigint, doc string, terms array<string>"), 0.2,
+    )
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.match_id for r in got.collect()} == {i: m for i, (m, _) in want.items()}
+    assert all(abs(r.score - want[r.id][1]) < 1e-9 for r in got.collect())
